@@ -76,6 +76,11 @@ def _distinct_bigrams(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
 
 
+def _once(value: Column) -> Column:
+    """A struct's fields by way of a generator, so that later uses read them instead of computing them again."""
+    return F.inline(F.array(value))
+
+
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """doc_id, line (from 0; -1: the whole text), license and dice of every unit that matches a template."""
     known = _templates(least)
@@ -89,7 +94,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float
     spaces = F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit("")))
     words = F.split("unit", " ")
     # a unit much longer than every template can match only if it repeats itself: decided on its distinct bigrams
-    units = units.where(F.greatest(spaces, F.lit(1)) >= fewest).withColumn("grams", _distinct_bigrams(words)).withColumn("n", F.size("grams"))
+    units = units.where(F.greatest(spaces, F.lit(1)) >= fewest)
+    units = units.select("doc_id", "line", _once(F.struct(_distinct_bigrams(words).alias("grams")))).withColumn("n", F.size("grams"))
     units = units.where(" OR ".join(f"n BETWEEN {low} AND {high}" for low, high in sorted({(low, high) for _, _, low, high in known})))
 
     def score(grams: list[str], low: int, high: int) -> Column:
@@ -98,7 +104,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float
 
     rated = F.array(*[F.struct(score(grams, low, high).alias("dice"), F.lit(-i).alias("order"), F.lit(name).alias("license")) for i, (name, grams, low, high) in enumerate(known)])
     best = F.array_max(F.filter(rated, lambda x: x["dice"] >= least))
-    return units.withColumn("best", best).where("best is not null").select("doc_id", "line", F.col("best.license").alias("license"), F.round("best.dice", 9).alias("dice"))
+    matched = units.select("doc_id", "line", _once(F.struct(best.alias("best")))).where("best is not null")
+    return matched.select("doc_id", "line", F.col("best.license").alias("license"), F.round("best.dice", 9).alias("dice"))
 
 
 def oracle_sql(least: float = LEAST) -> str:

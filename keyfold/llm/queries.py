@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licenses, mixing, ngram_join, packing, rptree, warc
+from . import exact_dedup, langid, licenses, mixing, ngram_join, packing, rptree, secrets, suffix_dedup, warc
 from .scratch import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -52,6 +52,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rptree.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -64,6 +68,10 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,9 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_ngram_jaccard_join,
         op4_best_fit_packing,
         op5_mix_sources,
+        op6_suffix_array_dedup,
         op7_embedding_near_dedup,
         op8_exact_dedup,
         op9_warc_round_trip,
+        op10_secret_scan,
     )
 }
 
