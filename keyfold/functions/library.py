@@ -3,12 +3,35 @@ scripts in the language commonly use."""
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import ColumnFunction
 
 
+def _paths(text: str | None) -> list[tuple[list[str], str]]:
+    out: list[tuple[list[str], str]] = []
+
+    def visit(path: list[str], value: Any) -> None:
+        out.append((path, json.dumps(value)))
+        items = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+        for k, v in items:
+            if v is not None:
+                visit([*path, str(k)], v)
+
+    if text is not None:
+        visit([], json.loads(text))
+    return out
+
+
+#: All paths of a JSON text with the JSON below them; built-in functions cannot recurse.
+tree_paths = F.udf(_paths, T.ArrayType(T.StructType([T.StructField("path", T.ArrayType(T.StringType())), T.StructField("value", T.StringType())])))
+
+
 def _split(text: Column, separator: Column) -> Column:
     return F.when(separator == "", F.filter(F.split(text, F.lit("")), lambda c: c != "")).otherwise(F.split(text, F.concat(F.lit("\\Q"), separator, F.lit("\\E")), -1))
 

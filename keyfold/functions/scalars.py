@@ -14,12 +14,18 @@ def is_number(kind: T.DataType | None) -> bool:
     return isinstance(kind, T.NumericType)
 
 
+def is_plain(kind: T.DataType | None) -> bool:
+    return isinstance(kind, T.NumericType | T.StringType | T.BooleanType)
+
+
 def is_time(kind: T.DataType | None) -> bool:
     return isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType)
 
 
 def number(x: Column, kind: T.DataType) -> Column:
     """A number as it is; anything else as the double it spells, or undefined."""
+    if isinstance(kind, T.VariantType):
+        return F.try_variant_get(x, "$", "double")
     return x if is_number(kind) else x.cast("int").cast("double") if isinstance(kind, T.BooleanType) else x.try_cast("double")
 
 
@@ -35,6 +41,13 @@ def compare(op: str, a: Column, ka: T.DataType, b: Column, kb: T.DataType, liter
         b, kb = date_literal(lb), ka
     elif is_time(kb) and isinstance(la, int):
         a, ka = date_literal(la), kb
+    for other, mine in ((ka, kb), (kb, ka)):
+        if isinstance(mine, T.VariantType) and not isinstance(other, T.VariantType):
+            as_other = "double" if is_number(other) else "boolean" if isinstance(other, T.BooleanType) else "string"
+            if mine is kb:
+                b, kb = F.try_variant_get(b, "$", as_other), T.DoubleType() if as_other == "double" else other
+            else:
+                a, ka = F.try_variant_get(a, "$", as_other), T.DoubleType() if as_other == "double" else other
     alike = is_number(ka) and is_number(kb) or ka == kb or is_time(ka) and is_time(kb) or isinstance(ka, T.StringType) and isinstance(kb, T.StringType)
     if not alike:
         if op == "equal":
@@ -69,7 +82,7 @@ def text(x: Column, kind: T.DataType) -> Column:
     """As the language prints it: whole doubles without a fraction."""
     if isinstance(kind, T.DoubleType | T.FloatType):
         return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), F.floor(x).cast("string")).otherwise(x.cast("string"))
-    return x.cast("string")
+    return F.try_variant_get(x, "$", "string") if isinstance(kind, T.VariantType) else x.cast("string")
 
 
 def wrap(x: Column, kind: str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import reducers, scalars
+from ..functions import library, reducers, scalars
 from ..plans.ir import Node
 from ..plans.scope import Scopes
 from ..sources import tables
@@ -152,6 +152,9 @@ class Lowering:
             frame.rows(self.spark)
             values = [self.eval(self.without_conditions(frame, p), frame) for p in parts]
             cols = [self.as_column(frame, x) for x in values]
+            for i, c in enumerate(cols):
+                if isinstance(frame.kind(c), T.VariantType):  # variants cannot be keys of groups
+                    cols[i], values[i] = F.try_variant_get(c, "$", "string"), Col(F.try_variant_get(c, "$", "string"))
             if v in frame.vars:
                 for a, b in zip(columns(frame.vars[v]), cols, strict=True):
                     frame.where(a == b)
@@ -181,7 +184,19 @@ class Lowering:
         frame.rows(self.spark)
         column = self.as_column(frame, base)
         kind = frame.kind(column)
+        if v.startswith("**"):
+            self.range_over_paths(frame, g, column, kind)
+            return
+        if isinstance(kind, T.VariantType):
+            listed = F.schema_of_variant(column).startswith("ARRAY")
+            items = F.try_variant_get(column, "$", "array<variant>")
+            numbered = F.map_from_arrays(F.transform(items, lambda _, i: i.cast("string")), items)
+            column = F.when(listed, numbered).otherwise(F.try_variant_get(column, "$", "map<string,variant>"))
+            kind = frame.kind(column)
         if isinstance(kind, T.StructType):
+            if len({f.dataType.simpleString() for f in kind}) > 1:
+                column = F.struct(*[(column[f.name].cast("variant") if scalars.is_plain(f.dataType) else F.parse_json(F.to_json(column[f.name]))).alias(f.name) for f in kind])
+                kind = frame.kind(column)
             column = F.map_from_arrays(F.array(*[F.lit(f.name) for f in kind]), F.array(*[column[f.name] for f in kind]))
             kind = frame.kind(column)
         if isinstance(kind, T.StringType):
@@ -208,6 +223,22 @@ class Lowering:
         frame.vars[v] = [key]
         frame.known[g.sign()] = named(item)
 
+    def range_over_paths(self, frame: Frame, g: Node, column: Column, kind: T.DataType) -> None:
+        """Binds the variable to the paths of a tree (lists of keys), the root first, each before what lies below it."""
+        v = g.args[1].op
+        whole = column if isinstance(kind, T.VariantType) else column.cast("variant") if scalars.is_plain(kind) else F.parse_json(F.to_json(column))
+        place, entry, item = fresh("place"), fresh("entry"), fresh("v")
+        frame.df = frame.df.select("*", F.posexplode(library.tree_paths(F.to_json(whole))).alias(place, entry))
+        path = F.col(f"`{entry}`.path")
+        if v in frame.vars:
+            frame.where(path == F.col(f"`{frame.vars[v][0]}`"))
+            frame.add({item: F.parse_json(F.col(f"`{entry}`.value"))})
+        else:
+            key = fresh("path")
+            frame.add({key: path, item: F.parse_json(F.col(f"`{entry}`.value"))})
+            frame.vars[v], frame.order[v] = [key], [place]
+        frame.known[g.sign()] = named(item)
+
     @staticmethod
     def _bare(value: Any) -> Any:
         return value if isinstance(value, Col) else Col(None)
@@ -230,6 +261,9 @@ class Lowering:
         return out
 
     def element(self, frame: Frame, column: Column, kind: T.DataType, key: Column) -> Column:
+        if isinstance(kind, T.VariantType):
+            inner, items = F.try_variant_get(column, "$", "map<string,variant>"), F.try_variant_get(column, "$", "array<variant>")
+            return F.coalesce(F.try_element_at(inner, key.cast("string")), F.get(items, key.try_cast("int")))
         if isinstance(kind, T.ArrayType):
             at = key if scalars.is_number(frame.kind(key)) else key.try_cast("double")
             return F.when((at == F.floor(at)) & (at >= 0), F.get(column, at.cast("int")))
@@ -333,7 +367,7 @@ class Lowering:
         if n.op.startswith("K"):
             return named(names[0])
         kind = frame.df.schema[names[0]].dataType
-        return named(names[0]) if isinstance(kind, T.StringType) else Col(F.col(f"`{names[0]}`").cast("string"))
+        return named(names[0]) if isinstance(kind, T.StringType | T.ArrayType) else Col(F.col(f"`{names[0]}`").cast("string"))
 
     def eval_setof(self, n: Node, frame: Frame) -> Any:
         x = self.column(n.args[0], frame)
@@ -430,6 +464,8 @@ class Lowering:
             return Col(F.when(test, F.lit(True)), test)
         if op == "sort":
             return self.eval_sort(n, frame)
+        if op == "put":
+            return self.updated(n, frame)
         if op == "hint":
             return self.eval(args[-1], frame)
         if op == "apply":
@@ -700,8 +736,6 @@ class Lowering:
     # ---- groups ----
 
     def eval_group(self, n: Node, frame: Frame) -> Any:
-        if n.args[1].kind == "const" or (n.args[0].kind != "const" and n.args[0].op != "mkTuple" and n.args[0].kind != "group"):
-            return self.updated(n, frame)
         relation = self.group(n)
         return Tab(relation, {v: columns(frame.vars[v]) for v in n.free})
 

@@ -104,11 +104,10 @@ def literal(value: Any) -> Column:
     """A nested Python value as a constant column."""
     if value is None or isinstance(value, str | int | float | bool):
         return F.lit(value)
-    return F.from_json(F.lit(json.dumps(value)), _type(_kind(value)))
-
-
-def rows_of(path_df: DataFrame, order: str | None = None) -> Table:
-    return Table(path_df, order)
+    try:
+        return F.from_json(F.lit(json.dumps(value)), _type(_kind(value)))
+    except Mixed:
+        return F.parse_json(F.lit(json.dumps(value)))
 
 
 def load(spark: SparkSession, form: str, path: str | list[str], schema: str | T.StructType | None = None) -> Table:
