@@ -161,7 +161,17 @@ def _prefixes(doc_id: str, text: str, shared, least: int):
     return run
 
 
-def _sets(text: str):
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+
+
+def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, items): the whole sets of the documents named."""
+    chosen = docs.withColumnRenamed("doc_id", "rep").join(reps, "rep").dropDuplicates(["rep"])
+    return chosen.mapInArrow(_hashed_sets("text"), "rep long, items array<long>")
+
+
+def _hashed_sets(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in blocks(column(batch, text)):
@@ -213,15 +223,15 @@ def link_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     alive = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     live = postings.join(alive, "token").join(copies, "doc", "left").select("token", F.coalesce("rep", "doc").alias("doc"), "packed").distinct()
     live = scratch.write(live.select("token", "doc", (F.col("packed") / 8).cast("long").alias("size"), (F.col("packed") % 8).cast("int").alias("level")).withColumn("need", F.ceil(F.col("size") * least / 100)), "live")
-    reps = live.select(F.col("doc").alias("rep")).distinct()
-    sets = scratch.write(docs.withColumnRenamed("doc_id", "rep").join(reps, "rep").dropDuplicates(["rep"]).mapInArrow(_sets("text"), "rep long, items array<long>"), "sets")
     level = scratch.write(_levels(live), "levels")
 
     # one earlier partner for each document: that which opens most of its posting lists
     heads = live.groupBy("token").agg(F.min("doc").alias("u"), F.min_by("size", "doc").alias("size_u"))
-    stars = live.select("token", F.col("doc").alias("v"), F.col("size").alias("size_v")).join(heads, "token").where((F.col("u") < F.col("v")) & _compatible(least))
-    stars = stars.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max_by("u", F.struct("k", -F.col("u"))).alias("u"))
-    found = scratch.write(_linked(stars.select("u", "v"), sets, least), "found")
+    stars = live.select("token", F.col("doc").alias("v"), F.col("size").alias("size_v"), "need").join(heads, "token").where((F.col("u") < F.col("v")) & _compatible(least))
+    stars = stars.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where(F.col("k") >= F.least(F.lit(LEVELS), "need"))
+    stars = scratch.write(stars.groupBy("v").agg(F.max_by("u", F.struct("k", -F.col("u"))).alias("u")).select("u", "v"), "stars")
+    sets = scratch.write(_sets(docs, _ends(stars)), "sets")
+    found = scratch.write(_linked(stars, sets, least), "found")
     near = scratch.write(components(found, scratch, "near").withColumnRenamed("node", "doc"), "near")
 
     # all pairs of different components that share enough prefix shingles
@@ -234,7 +244,9 @@ def link_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     u, v = (placed.select("token", F.col("component").alias(f"c{k}"), F.col("doc").alias(k), F.col("size").alias(f"size_{k}"), F.col("level").alias(f"level_{k}"), F.col("l").alias(f"l_{k}")) for k in "uv")
     pairs = meet.join(u, ["token", "cu"]).join(v, ["token", "cv"]).where(_compatible(least) & (F.col("level_u") <= F.col("l_u")) & (F.col("level_v") <= F.col("l_u")))
     pairs = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.first("l_u").alias("l")).where("k >= l").select("u", "v")
-    more = scratch.write(_linked(pairs, sets, least), "more")
+    pairs = scratch.write(pairs, "pairs")
+    other = scratch.write(_sets(docs, _ends(pairs).join(sets.select("rep"), "rep", "left_anti")), "other")
+    more = scratch.write(_linked(pairs, sets.unionByName(other), least), "more")
     final = components(found.unionByName(more), scratch, "final").withColumnRenamed("node", "rep") if not more.isEmpty() else near.withColumnRenamed("doc", "rep")
     joined = rows.join(copies.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(final, "rep", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

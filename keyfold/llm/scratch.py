@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that go to a Python worker at once: batches of whole texts stay small on both sides.
+ROWS_PER_BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_root(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a temporary folder only where it is unset (tests, local mode)."""
@@ -38,9 +43,20 @@ class Scratch:
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
+        batch = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
+        try:
+            df.write.parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.set(_BATCH, batch)
+        self.release()
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def release(self) -> None:
+        """Shuffle files of finished work go once the driver's objects for them are collected; asks for that now."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, f"{self.path}/{name}")
