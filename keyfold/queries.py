@@ -51,7 +51,6 @@ class Query:
         return df.select(*[F.round(f.name, self.digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema])
 
 
-L, O, C, E = "lineitem.*l", "orders.*o", "customer.*c", "events.*e"
 ASIA_1996 = "o_orderdate >= date '1996-01-01' AND o_orderdate < date '1997-01-01'"
 
 QUERIES: dict[str, Query] = {}
@@ -75,8 +74,7 @@ add("agg_any", "{supplier.*s.s_nationkey: any (supplier.*s.s_acctbal > 5000 & su
 add("agg_array", "{nation.*n.n_regionkey: array nation.*n.n_name}", "SELECT n_regionkey AS key, list(n_name ORDER BY n_nationkey) AS value FROM nation GROUP BY 1")
 add("agg_mkset", "{nation.*n.n_regionkey: count (mkset nation.*n.n_name).*}", "SELECT n_regionkey AS key, count(DISTINCT n_name) AS value FROM nation GROUP BY 1")
 add("agg_avg", "{lineitem.*l.l_returnflag: (sum lineitem.*l.l_quantity) / (count lineitem.*l.l_quantity)}", "SELECT l_returnflag AS key, round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY 1", 6)
-add("count_distinct", "{events.*e.event_type: count {events.*e.event_type: {events.*e.user_id: count? events.*e.user_id}}.(events.*e.event_type).*u}", None)
-QUERIES.pop("count_distinct")
+add("count_distinct", "let per = {events.*e.event_type: {events.*e.user_id: count? events.*e.user_id}}; {*t: count per.*t.*u}", "SELECT event_type AS key, count(DISTINCT user_id) AS value FROM events GROUP BY 1")
 
 # ---- grouping ----
 add("group_single", "{customer.*c.c_mktsegment: sum customer.*c.c_acctbal}", "SELECT c_mktsegment AS key, round(sum(c_acctbal), 2) AS value FROM customer GROUP BY 1")
@@ -130,8 +128,8 @@ add("length", "sum (length documents.*d.text)", "SELECT sum(length(text))::BIGIN
 add("join_array", "{nation.*n.n_regionkey: join (array nation.*n.n_nationkey)}", "SELECT n_regionkey AS key, string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) AS value FROM nation GROUP BY 1")
 add("flatten", "{nation.*n.n_regionkey: flatten (array nation.*n.n_nationkey) (array nation.*n.n_nationkey)}", "SELECT n_regionkey AS key, list_concat(list(n_nationkey ORDER BY n_nationkey), list(n_nationkey ORDER BY n_nationkey)) AS value FROM nation GROUP BY 1")
 add("convert_wrap", "{part.*p.p_partkey: {k: single part.*p.p_partkey, u8: convert_u8 (part.*p.p_partkey * 7), i8: convert_i8 (part.*p.p_partkey * 7), i16: convert_i16 (part.*p.p_partkey * 999)}}", "SELECT p_partkey AS k, (p_partkey * 7) & 255 AS u8, CASE WHEN (p_partkey * 7) & 255 >= 128 THEN ((p_partkey * 7) & 255) - 256 ELSE (p_partkey * 7) & 255 END AS i8, CASE WHEN (p_partkey * 999) & 65535 >= 32768 THEN ((p_partkey * 999) & 65535) - 65536 ELSE (p_partkey * 999) & 65535 END AS i16 FROM part")
-add("udf_library", '{part.*p.p_partkey: sqrt (part.*p.p_size) + abs (0 - part.*p.p_size)}', None)
-QUERIES.pop("udf_library")
+add("udf_library", "{part.*p.p_partkey: (udf.sqrt part.*p.p_size) + (udf.abs (0 - part.*p.p_size))}", "SELECT p_partkey AS key, round(sqrt(p_size) + abs(0 - p_size), 6) AS value FROM part", 6)
+add("udtf_split", '{(udf.split "_" nation.*n.n_name).*i: count nation.*n.n_name}', "SELECT unnest(string_split(n_name, '_')) AS key, count(*) AS value FROM nation GROUP BY 1")
 
 # ---- scans, sorts ----
 _RUN = "SELECT list(x ORDER BY e) AS value FROM (SELECT event_id AS e, {} OVER (ORDER BY event_id) AS x FROM events WHERE event_type = 'purchase' AND event_id < 2000)"
@@ -147,16 +145,12 @@ add("json_count_distinct_by_type", "let per = {events.*e.event_type: {event: sin
 add("json_hour_histogram", '{hour: single (hour events.*e.ts), event: single events.*e.event_type, count: count events.*e.event_id} | group [events.*e.value > 10 & events.*e.event_type, hour events.*e.ts]', "SELECT hour(ts)::INTEGER AS hour, event_type AS event, count(*) AS count FROM events WHERE value > 10 GROUP BY 1, 2")
 add("json_first_event", 'sort {events.*e.event_type == "purchase" & events.*e.user_id: {user: single events.*e.user_id, first: min? events.*e.ts}} "first" 0', "SELECT user_id AS user, min(ts) AS first FROM events WHERE event_type = 'purchase' GROUP BY 1")
 add("json_activity_span", '{events.*e.event_type == "purchase" & events.*e.user_id: {user: single events.*e.user_id, span: (max? events.*e.event_id) - (min? events.*e.event_id)}}', "SELECT user_id AS user, max(event_id) - min(event_id) AS span FROM events WHERE event_type = 'purchase' GROUP BY 1")
-add("json_props", "{k: single props.(events.*e.props).k, n: count events.*e.event_id} | group props.(events.*e.props).k", None)
-QUERIES.pop("json_props")
-add("json_parse", "{parsed (events.*e.props): count events.*e.event_id}", "SELECT (props->>'$.k')::BIGINT AS key, count(*) AS value FROM events WHERE props->>'$.k' IS NOT NULL GROUP BY 1")
-QUERIES["json_parse"].text = "{udf.jsonNumber events.*e.props \"k\": count events.*e.event_id}"
+add("json_parse", '{udf.jsonNumber events.*e.props "k": count events.*e.event_id}', "SELECT (props->>'$.k')::BIGINT AS key, count(*) AS value FROM events WHERE props->>'$.k' IS NOT NULL GROUP BY 1")
 
 # ---- tensors ----
 add("dot_product", "{embeddings.*v.vec_id: dot embeddings.*v.embedding embeddings.*v.embedding}", "SELECT vec_id AS key, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS value FROM embeddings", 4)
-add("einsum_dot", "{embeddings.*v.vec_id: sum (embeddings.*v.embedding.*i * embeddings.*v.embedding.*i)}", None, 4)
-QUERIES["einsum_dot"].sql = "SELECT vec_id AS key, round(sum(x::DOUBLE * x::DOUBLE), 3) AS value FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY 1"
-QUERIES["einsum_dot"].text, QUERIES["einsum_dot"].digits = "{embeddings.*v.vec_id: sum ((convert_f64 embeddings.*v.embedding.*i) * (convert_f64 embeddings.*v.embedding.*i))}", 3
+add("einsum_dot", "{embeddings.*v.vec_id: sum ((convert_f64 embeddings.*v.embedding.*i) * (convert_f64 embeddings.*v.embedding.*i))}", "SELECT vec_id AS key, round(sum(x::DOUBLE * x::DOUBLE), 3) AS value FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY 1", 3)
+add("row_sum", "{*v: sum (convert_f64 embeddings.*v.embedding.*i)}", "SELECT vec_id AS key, round(sum(x::DOUBLE), 4) AS value FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY 1", 4)
 add("column_sum", "{*i: sum (convert_f64 embeddings.*v.embedding.*i)}", "SELECT i AS key, round(sum(x::DOUBLE), 4) AS value FROM (SELECT unnest(embedding) AS x, (generate_subscripts(embedding, 1) - 1)::INTEGER AS i FROM embeddings) GROUP BY 1", 4)
 add("matmul", "{*i: {*j: sum ((convert_f64 embeddings.*v.embedding.*i) * (convert_f64 embeddings.*v.embedding.*j))}}", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INTEGER AS i FROM embeddings) SELECT a.i AS key, b.i AS key_1, round(sum(a.x * b.x), 3) AS value FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2", 3)
 add("transpose", "{*i: {*v: embeddings.*v.embedding.*i}}", "SELECT (generate_subscripts(embedding, 1) - 1)::INTEGER AS key, vec_id AS key_1, unnest(embedding) AS value FROM embeddings")
@@ -217,11 +211,16 @@ add("q15", f"""let revenue = {{lineitem.*l.l_shipdate >= 19960101 && lineitem.*l
   let top = max revenue.*k
   array (revenue.(supplier.*s.s_suppkey) == top & {{s_suppkey: supplier.*s.s_suppkey, s_name: supplier.*s.s_name, total_revenue: revenue.(supplier.*s.s_suppkey)}})""",
     "WITH r AS (SELECT l_suppkey AS k, sum(l_extendedprice * (1 - l_discount)) AS t FROM lineitem WHERE l_shipdate >= date '1996-01-01' AND l_shipdate < date '1996-04-01' GROUP BY 1) SELECT s_suppkey, s_name, round(t, 2) AS total_revenue FROM supplier JOIN r ON k = s_suppkey WHERE t = (SELECT max(t) FROM r)")
+add("q2", """let eu = single region.*r.r_regionkey | group (region.*r.r_name == "EUROPE" & region.*r.r_regionkey)
+  let s = {s_name: single supplier.*s.s_name, s_acctbal: single supplier.*s.s_acctbal} | group (eu.(nation.(supplier.*s.s_nationkey).n_regionkey) & supplier.*s.s_suppkey)
+  let cheapest = min? lineitem.*l.l_extendedprice | group (s.(lineitem.*l.l_suppkey) && part.(lineitem.*l.l_partkey).p_size == 15 & lineitem.*l.l_partkey)
+  sort (array (s.(lineitem.*m.l_suppkey) && cheapest.(lineitem.*m.l_partkey) == lineitem.*m.l_extendedprice & {s_acctbal: s.(lineitem.*m.l_suppkey).s_acctbal, s_name: s.(lineitem.*m.l_suppkey).s_name, p_partkey: lineitem.*m.l_partkey, cost: lineitem.*m.l_extendedprice})) "s_acctbal" 1 "s_name" 0 "p_partkey" 0""",
+    "WITH e AS (SELECT l_partkey, l_extendedprice, s_acctbal, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey JOIN part ON p_partkey = l_partkey WHERE r_name = 'EUROPE' AND p_size = 15) SELECT round(s_acctbal, 2) AS s_acctbal, s_name, l_partkey AS p_partkey, round(l_extendedprice, 2) AS cost FROM e WHERE l_extendedprice = (SELECT min(l_extendedprice) FROM e f WHERE f.l_partkey = e.l_partkey)")
 add("q16", """let bad = {supplier.*s.s_acctbal < 0 & supplier.*s.s_suppkey: count supplier.*s.s_suppkey}
-  let per = {brand: single part.(lineitem.*l.l_partkey).p_brand, size: single part.(lineitem.*l.l_partkey).p_size, suppliers: {lineitem.*l.l_suppkey: count? lineitem.*l.l_suppkey}} | group [isUndef bad.(lineitem.*l.l_suppkey) && part.(lineitem.*l.l_partkey).p_size < 10 & part.(lineitem.*l.l_partkey).p_brand, part.(lineitem.*l.l_partkey).p_size]
+  let p = part.(lineitem.*l.l_partkey)
+  let per = {brand: single p.p_brand, size: single p.p_size, suppliers: {lineitem.*l.l_suppkey: count? lineitem.*l.l_suppkey}} | group [(isUndef bad.(lineitem.*l.l_suppkey)) && p.p_size < 10 & p.p_brand, p.p_size]
   array {brand: per.*g.brand, size: per.*g.size, supplier_cnt: count per.*g.suppliers.*s2}""",
-    None)
-QUERIES.pop("q16")
+    "SELECT p_brand AS brand, p_size AS size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 10 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1, 2")
 add("q17", """let a = {lineitem.*l.l_partkey: (sum lineitem.*l.l_quantity) / (count lineitem.*l.l_quantity)}
   (sum (part.(lineitem.*m.l_partkey).p_brand == "Brand#23" && lineitem.*m.l_quantity < 0.2 * a.(lineitem.*m.l_partkey) & lineitem.*m.l_extendedprice)) / 7""",
     "SELECT round(coalesce(sum(l_extendedprice), 0) / 7.0, 2) AS value FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand = 'Brand#23' AND l_quantity < (SELECT 0.2 * avg(l_quantity) FROM lineitem i WHERE i.l_partkey = part.p_partkey)")
@@ -234,6 +233,12 @@ add("q19", f"""let p = part.(lineitem.*l.l_partkey)
 add("q20", """let used = {lineitem.*l.l_shipdate >= 19960101 && lineitem.*l.l_shipdate < 19970101 && part.(lineitem.*l.l_partkey).p_size > 40 & lineitem.*l.l_suppkey: sum lineitem.*l.l_quantity}
   array (used.(supplier.*s.s_suppkey) > 100 && nation.(supplier.*s.s_nationkey).n_regionkey == 2 & {s_name: supplier.*s.s_name, qty: used.(supplier.*s.s_suppkey)})""",
     "SELECT s_name, round(q, 2) AS qty FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN (SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_shipdate >= date '1996-01-01' AND l_shipdate < date '1997-01-01' AND p_size > 40 GROUP BY 1) ON l_suppkey = s_suppkey WHERE n_regionkey = 2 AND q > 100")
+add("q21", """let all = {lineitem.*l.l_orderkey: {lineitem.*l.l_suppkey: count? lineitem.*l.l_suppkey}}
+  let late = {lineitem.*r.l_returnflag == "R" & lineitem.*r.l_orderkey: {lineitem.*r.l_suppkey: count? lineitem.*r.l_suppkey}}
+  let suppliers = {*o: count all.*o.*s}
+  let returned = {*q: count late.*q.*t}
+  {s_name: single supplier.(lineitem.*m.l_suppkey).s_name, numwait: count lineitem.*m.l_orderkey} | group (lineitem.*m.l_returnflag == "R" && suppliers.(lineitem.*m.l_orderkey) > 1 && returned.(lineitem.*m.l_orderkey) == 1 & lineitem.*m.l_suppkey)""",
+    "SELECT s_name, count(*) AS numwait FROM supplier JOIN lineitem m ON s_suppkey = m.l_suppkey WHERE m.l_returnflag = 'R' AND EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = m.l_orderkey AND x.l_suppkey <> m.l_suppkey) AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = m.l_orderkey AND x.l_suppkey <> m.l_suppkey AND x.l_returnflag = 'R') GROUP BY s_suppkey, s_name")
 add("q22", """let recent = {19960101 <= orders.*o.o_orderdate && orders.*o.o_orderdate < 19960401 & orders.*o.o_custkey: count orders.*o.o_orderkey}
   let average = (sum (customer.*d.c_acctbal > 0 & customer.*d.c_acctbal)) / (count (customer.*d.c_acctbal > 0))
   {code: single (substr customer.*c.c_name 9 11), numcust: count customer.*c.c_custkey, totacctbal: sum customer.*c.c_acctbal} | group (customer.*c.c_acctbal > average && (isUndef recent.(customer.*c.c_custkey)) & (substr customer.*c.c_name 9 11))""",
