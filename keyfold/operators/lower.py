@@ -400,8 +400,23 @@ class Lowering:
         return Col(tables.literal(x))
 
     def eval_load(self, n: Node, frame: Frame) -> Any:
-        path, schema = n.args[0].op, n.args[1].op if len(n.args) > 1 else None
-        return self.source(tables.load(self.spark, n.op, path, schema), str(path))
+        schema = n.args[1].op if len(n.args) > 1 else None
+        if n.args[0].kind == "const":
+            return self.source(tables.load(self.spark, n.op, n.args[0].op, schema), str(n.args[0].op))
+        # names that a query computes: a list of files, read one by one and joined back to the rows that name them
+        names = self.domain(n.args[0].free)
+        file, listed = fresh("file"), fresh("listed")
+        names.add({listed: self.column(n.args[0], names)})
+        free = {v: names.vars[v] for v in n.args[0].free}
+        rows = names.df.select(*columns([c for cs in free.values() for c in cs]), F.col(f"`{listed}`"))
+        whole = None
+        for r in names.df.select(F.col(f"`{listed}`")).distinct().orderBy(F.col(f"`{listed}`")).collect():
+            part = tables.load(self.spark, n.op, r[0], schema).df.withColumn(file, F.lit(r[0]))
+            whole = part if whole is None else whole.unionByName(part)
+        fields = [c for c in whole.columns if c != file]
+        row = fresh("row")
+        joined = whole.withColumn(row, F.monotonically_increasing_id()).join(rows, F.col(f"`{file}`") == F.col(f"`{listed}`"))
+        return Tab(Relation(joined, free, [row], Rec({c: named(c) for c in fields}), [row]), {v: columns(frame.vars[v]) for v in free})
 
     def eval_get(self, n: Node, frame: Frame) -> Any:
         base, key = n.args

@@ -24,6 +24,15 @@ def test_csv_tbl_ndjson(spark, tmp_path):
     assert keyfold.run(spark, text).collect() == 6
 
 
+def test_file_names_from_a_table(spark, tmp_path):
+    for name, v in (("a", 1), ("b", 5)):
+        (tmp_path / f"{name}.csv").write_text(f"k,v\nA,{v}\nB,{v + 1}\n")
+    files = [{"file": str(tmp_path / "a.csv")}, {"file": str(tmp_path / "b.csv")}]
+    schema = keyfold.plans.ir.const("k string, v int")
+    assert keyfold.run(spark, keyfold.query("sum (loadCSV files.*f.file @schema).*r.v", schema=schema), files=files).collect() == 14
+    assert keyfold.run(spark, keyfold.query("{*f: sum (loadCSV files.*f.file @schema).*r.v}", schema=schema), files=files).collect() == {"0": 3, "1": 11}
+
+
 def test_text_output(spark, tmp_path):
     df = spark.createDataFrame([("A", 1.5, None)], "k string, v double, n int")
     assert list(sinks.lines(df, "bars")) == ["A|1.5000|null|"]
