@@ -4,7 +4,6 @@ scripts in the language commonly use."""
 from __future__ import annotations
 
 import json
-from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,10 +12,10 @@ from pyspark.sql import types as T
 from ..sources.tables import ColumnFunction
 
 
-def _paths(text: str | None) -> list[tuple[list[str], str]]:
-    out: list[tuple[list[str], str]] = []
+def _paths(text):
+    out = []
 
-    def visit(path: list[str], value: Any) -> None:
+    def visit(path, value):
         out.append((path, json.dumps(value)))
         items = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
         for k, v in items:
