@@ -28,8 +28,8 @@ _ARITHMETIC = {"plus", "minus", "times", "fdiv", "div", "mod", "concat"}
 class Frame:
     """A DataFrame under construction with the columns of its variables and the values of terms met so far."""
 
-    def __init__(self, df: DataFrame | None = None):
-        self.df = df
+    def __init__(self, df: DataFrame | None, kinds: dict[str, T.DataType]):
+        self.df, self.kinds = df, kinds
         self.vars: dict[str, list[str]] = {}
         self.order: dict[str, list[str]] = {}
         self.known: dict[str, Any] = {}
@@ -40,7 +40,11 @@ class Frame:
         return self.df
 
     def kind(self, column: Column) -> T.DataType:
-        return self.df.select(column.alias("x")).schema["x"].dataType
+        """The type of a column. Names are never used twice, so a text of a column always means the same type."""
+        text = str(column)[8:-2]  # without Column<'…'>
+        if text not in self.kinds:
+            self.kinds[text] = self.df.select(column.alias("x")).schema["x"].dataType
+        return self.kinds[text]
 
     def add(self, new: dict[str, Column]) -> None:
         if new:
@@ -56,6 +60,7 @@ class Frame:
 class Lowering:
     def __init__(self, spark: SparkSession, catalog: dict[str, Any], root: Node):
         self.spark, self.catalog = spark, catalog
+        self.kinds: dict[str, T.DataType] = {}
         self.scopes = Scopes(root)
         self.root = self.scopes.root
         if self.scopes.out:
@@ -82,7 +87,7 @@ class Lowering:
 
     def domain(self, names: tuple[str, ...]) -> Frame:
         """A frame with one row for each combination of keys of the variables, in terms of all their collections."""
-        frame, todo = Frame(), list(self.scopes.closure(names))
+        frame, todo = Frame(None, self.kinds), list(self.scopes.closure(names))
         waiting = [g for v in todo for g in self.ranges.get(v, [])]
         while waiting:
             ready = [g for g in waiting if all(v in frame.vars for v in g.args[0].free)]
@@ -117,7 +122,7 @@ class Lowering:
         """The keys of a variable that only optional collections have: those of any of them."""
         start, parts = (frame.df, dict(frame.vars), dict(frame.order), dict(frame.known)), []
         for g in mine:
-            part = Frame(start[0])
+            part = Frame(start[0], self.kinds)
             part.vars, part.order, part.known = dict(start[1]), dict(start[2]), dict(start[3])
             self.range_over(part, g)
             parts.append(part)
@@ -169,7 +174,7 @@ class Lowering:
             return
         base = self.lazy(source, frame)
         if isinstance(base, Tab):
-            relation = base.relation.renamed()
+            relation = base.relation.renamed(self.kinds)
             on = [a == b for w, cs in base.bind.items() if w in relation.free for a, b in zip(cs, columns(relation.free[w]), strict=True)]
             if v in frame.vars:
                 on += self.equal_keys(frame, columns(frame.vars[v]), relation.df, relation.key)
@@ -254,7 +259,7 @@ class Lowering:
         out = []
         for a, name in zip(mine, names, strict=True):
             b = F.col(f"`{name}`")
-            ka, kb = frame.kind(a), df.schema[name].dataType
+            ka, kb = frame.kind(a), self.kinds.get(name) or df.schema[name].dataType
             if ka != kb and not (scalars.is_number(ka) and scalars.is_number(kb)):
                 a, b = a.cast("string"), b.cast("string")
             out.append(a == b)
@@ -336,8 +341,8 @@ class Lowering:
 
     def collected(self, frame: Frame, value: Tab) -> Column:
         """A keyed relation as a map (a list as an array), for the rows of the frame that it belongs to."""
-        relation = value.relation.renamed()
-        inner = Frame(relation.df)
+        relation = value.relation.renamed(self.kinds)
+        inner = Frame(relation.df, self.kinds)
         item = self.as_column(inner, relation.value)
         frees = [c for v in value.bind for c in relation.free[v]]
         order = F.struct(*columns(relation.order or relation.key))
@@ -366,7 +371,7 @@ class Lowering:
             return Col(F.struct(*columns(names)))
         if n.op.startswith("K"):
             return named(names[0])
-        kind = frame.df.schema[names[0]].dataType
+        kind = frame.kind(F.col(f"`{names[0]}`"))
         return named(names[0]) if isinstance(kind, T.StringType | T.ArrayType) else Col(F.col(f"`{names[0]}`").cast("string"))
 
     def eval_setof(self, n: Node, frame: Frame) -> Any:
@@ -388,10 +393,11 @@ class Lowering:
             if not key:
                 key = [fresh("row")]
                 df = df.withColumn(key[0], F.monotonically_increasing_id())
-            value = Rec({c: named(c) for c in x.df.columns}, F.lit(True), None)
-            marker = fresh("there")
-            df = df.withColumn(marker, F.lit(True))
-            value.present, value.present_name = F.col(f"`{marker}`"), marker
+            marker, names = fresh("there"), {f.name: fresh(f.name) for f in df.schema}
+            self.kinds.update({names[f.name]: f.dataType for f in df.schema})
+            df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.lit(True).alias(marker))
+            value = Rec({c: named(names[c]) for c in x.df.columns}, F.col(f"`{marker}`"), marker)
+            key = [names[c] for c in key]
             return Tab(Relation(df, {}, key, value, key))
         if isinstance(x, tables.Udf | tables.ColumnFunction):
             return Fun(x)
@@ -451,7 +457,7 @@ class Lowering:
         if not isinstance(value, Tab):
             column = self.as_column(frame, value)
             return Col(self.element(frame, column, frame.kind(column), key[0]))
-        relation = value.relation.renamed()
+        relation = value.relation.renamed(self.kinds)
         on = [a == b for w, cs in value.bind.items() if w in relation.free for a, b in zip(cs, columns(relation.free[w]), strict=True)]
         on += self.equal_keys(frame, key, relation.df, relation.key)
         frame.df = frame.df.join(relation.df, on, "left")
@@ -587,7 +593,7 @@ class Lowering:
 
     def attached(self, frame: Frame, relation: Relation, n: Node) -> Any:
         """A reducer's value for the rows of a frame."""
-        relation = relation.renamed()
+        relation = relation.renamed(self.kinds)
         frame.rows(self.spark)
         on = [a == b for v in n.free for a, b in zip(columns(frame.vars[v]), columns(relation.free[v]), strict=True)]
         if on:
@@ -649,8 +655,8 @@ class Lowering:
             inner_order = [c for c in order if c in bound] if distinct else order
             if distinct:
                 df = df.select(*columns(list(dict.fromkeys(bound))), *columns([names[s] for s in chosen])).dropDuplicates(list(dict.fromkeys(bound)))
-            inner = Frame(df)
-            aggs = [reducers.reduce(m.op, F.col(f"`{names[s]}`"), df.schema[names[s]].dataType, inner_order, m.mode == "maybe").alias(names[s] + "_r") for s, m in chosen.items()]
+            inner = Frame(df, self.kinds)
+            aggs = [reducers.reduce(m.op, F.col(f"`{names[s]}`"), frame.kind(cols[s]), inner_order, m.mode == "maybe").alias(names[s] + "_r") for s, m in chosen.items()]
             parts.append((inner.df.groupBy(*columns(keys)).agg(*aggs) if aggs else inner.df.select(*columns(keys)).distinct(), [names[s] + "_r" for s in chosen]))
         df = parts[0][0]
         for other, _ in parts[1:]:
@@ -692,7 +698,7 @@ class Lowering:
         item, run = fresh("x"), fresh(n.op)
         df = frame.df.select(*columns(list(dict.fromkeys([*keys, *order]))), x.alias(item))
         window = Window.partitionBy(*columns(keys)).orderBy(*columns(order)).rowsBetween(Window.unboundedPreceding, 0)
-        aggregate = reducers.reduce(n.op, F.col(f"`{item}`"), df.schema[item].dataType, order, True)
+        aggregate = reducers.reduce(n.op, F.col(f"`{item}`"), frame.kind(x), order, True)
         df = df.withColumn(run, aggregate.over(window) if n.op not in ("count",) else F.count(F.col(f"`{item}`")).over(window))
         out = df.groupBy(*columns(keys)).agg(reducers.reduce("array", F.col(f"`{run}`"), df.schema[run].dataType, order, False).alias(run + "_r"))
         return Relation(out, {v: frame.vars[v] for v in n.free}, [], named(run + "_r"), [])
@@ -800,7 +806,7 @@ class Lowering:
         leaders = [m for m in self.direct(value) if set(m.free) == set(owner) and set(self.scopes.closure((*m.free, *m.bound, *m.hidden))) <= everything]
         if not self.rests_on(value, set(owner)) and leaders and owner:
             relation = self.reducer(leaders[0])
-            frame = Frame(relation.df)
+            frame = Frame(relation.df, self.kinds)
             frame.vars = dict(relation.free)
             for m in leaders:
                 r = self.reducer(m)
@@ -811,7 +817,7 @@ class Lowering:
             frame.rows(self.spark)
             if n.hidden and not self.rests_on(value, set(owner)):
                 names = [c for v in owner for c in frame.vars[v]]
-                distinct = Frame(frame.df.select(*columns(names)).distinct())
+                distinct = Frame(frame.df.select(*columns(names)).distinct(), self.kinds)
                 distinct.vars = {v: frame.vars[v] for v in owner}
                 frame = distinct
             elif n.hidden:

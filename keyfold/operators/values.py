@@ -63,9 +63,10 @@ class Relation:
     sort: list[tuple[Any, bool]] = field(default_factory=list)
     listed: bool = False
 
-    def renamed(self) -> Relation:
-        """The same rows under fresh names, so that joins never confuse columns."""
+    def renamed(self, kinds: dict[str, Any]) -> Relation:
+        """The same rows under fresh names, so that joins never confuse columns. ``kinds``: types of columns known by name."""
         names = {c: fresh(c.rsplit("_", 1)[0]) for c in self.df.columns}
+        kinds.update({n: kinds[c] for c, n in names.items() if c in kinds})
         df = self.df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
         value = rename(self.value, names)
         return Relation(df, {v: [names[c] for c in cs] for v, cs in self.free.items()}, [names[c] for c in self.key], value, [names[c] for c in self.order], self.base, self.sort, self.listed)

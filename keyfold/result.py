@@ -14,7 +14,7 @@ from .operators.values import Col, Rec, Relation, Tab, columns
 class Result:
     def __init__(self, lowering: Lowering):
         self.lowering = lowering
-        self.frame = Frame()
+        self.frame = Frame(None, lowering.kinds)
         self.value = lowering.lazy(lowering.root, self.frame)
 
     def relation(self) -> Relation | None:
@@ -29,7 +29,7 @@ class Result:
         while isinstance(relation.value, Tab) and not relation.listed:
             relation = relation.value.relation
             held = [c for v in relation.free for c in relation.free[v]]
-        frame = Frame(relation.df)
+        frame = Frame(relation.df, self.lowering.kinds)
         names = [*held, *relation.key]
         if isinstance(relation.value, Rec):
             fields = {k: self.lowering.as_column(frame, v) for k, v in relation.value.fields.items()}
@@ -119,7 +119,7 @@ class Result:
             if ("base", id(inner)) not in nested:
                 lowering = self.lowering
                 names = list(inner.free)
-                frame = Frame(inner.df.select(*columns([c for v in names for c in inner.free[v]])).distinct())
+                frame = Frame(inner.df.select(*columns([c for v in names for c in inner.free[v]])).distinct(), lowering.kinds)
                 frame.vars = dict(inner.free)
                 value = lowering.stored(frame, lowering.eval(inner.base, frame))
                 rel = Relation(frame.df, {}, [c for v in names for c in inner.free[v]], value, [])
