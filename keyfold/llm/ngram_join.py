@@ -8,9 +8,9 @@
    once per distinct set of a partition; shingles that stay alone are dropped.
 3. Each representative lengthens its prefix to the l of least estimated cost: posting entries read plus candidates
    expected (entries / l), each weighted with what a verification costs.
-4. Near copies first: every document is verified against one earlier document that shares the most prefix shingles
-   with it, and what links is one component. Then all pairs of different components that share l prefix shingles
-   are verified, so no pair inside a component is ever listed and no link between components is missed.
+4. Near copies first: every component (at first a document) is verified against the hub of another that shares the most
+   prefix shingles with it, and what links becomes one component; up to ``HUB_ROUNDS`` times. Then all pairs of different
+   components that share l prefix shingles are verified, so no pair inside a component is listed and no link is missed.
 5. Components by star contraction; copies follow their representative.
 
 Memory follows the block size; posting lists are joined as rows, never gathered. Hashes have 64 bits with 58 used for
@@ -36,8 +36,8 @@ from .graph import components
 from .scratch import Scratch
 
 WORDS, LEAST, LEVELS = 5, 75, 4
-SKETCH_BITS, SKETCH_BLOCKS = 20, 64
-VERIFY_COST = 20.0
+SKETCH_BITS, SKETCH_BLOCKS, COUNTED_AT_ONCE = 22, 256, 1 << 21
+VERIFY_COST, HUB_ROUNDS = 20.0, 3
 _STEP = np.random.default_rng(5).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -79,11 +79,21 @@ def distinct_sets(value: np.ndarray, row: np.ndarray, rows: int) -> Iterator[np.
 def _scan(doc_id: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def count() -> None:
+            if waiting:
+                cells, n = np.unique((np.concatenate(waiting) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+                sketch[cells] += n.astype(np.uint32)
+                waiting.clear()
+
         names = ["doc_id", "n", "h1", "h2", "block", "counts"]
         for batch in batches:
             for lo, hi, data, offs in blocks(column(batch, text)):
                 value, row = shingles(data, offs)
-                sketch += np.bincount((value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+                waiting.append(value)
+                if sum(map(len, waiting)) > COUNTED_AT_ONCE:
+                    count()
                 sizes, digests = [], []
                 for part in distinct_sets(value, row, hi - lo):
                     sizes.append(len(part))
@@ -91,6 +101,7 @@ def _scan(doc_id: str, text: str):
                 h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 none = pa.nulls(hi - lo)
                 yield pa.RecordBatch.from_arrays([batch.column(doc_id).slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), none.cast(pa.int32()), none.cast(pa.binary())], names)
+        count()
         parts = sketch.reshape(SKETCH_BLOCKS, -1)
         used = np.flatnonzero(parts.any(1))
         none = pa.nulls(len(used)).cast(pa.int64())
@@ -111,7 +122,7 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequency_classes(scanned: DataFrame) -> np.ndarray:
     """Class 0 to 63 of every sketch cell: how far its count lies above what evenly spread shingles give."""
     total = np.zeros(1 << SKETCH_BITS, np.int64).reshape(SKETCH_BLOCKS, -1)
-    parts = scanned.where("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS, "block").mapInArrow(_sum_sketch, "block int, counts binary")
+    parts = scanned.where("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS // 4, "block").mapInArrow(_sum_sketch, "block int, counts binary")
     for r in parts.collect():  # of fixed size, whatever the input
         total[r["block"]] = np.frombuffer(r["counts"], np.int64)
     total = total.reshape(-1)
@@ -165,10 +176,41 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
 
 
-def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, items): the whole sets of the documents named."""
-    chosen = docs.withColumnRenamed("doc_id", "rep").join(reps, "rep").dropDuplicates(["rep"])
-    return chosen.mapInArrow(_hashed_sets("text"), "rep long, items array<long>")
+class _Sets:
+    """Whole sets (rep, items) of the documents that pairs name, each made once."""
+
+    def __init__(self, docs: DataFrame, scratch: Scratch):
+        self.docs, self.scratch, self.made, self.number = docs.withColumnRenamed("doc_id", "rep"), scratch, None, 0
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        wanted = _ends(pairs)
+        self.number += 1
+        if self.made is not None:
+            wanted = self.scratch.write(wanted.join(self.made.select("rep"), "rep", "left_anti"), f"wanted{self.number}")
+            if wanted.isEmpty():
+                return self.made
+        chosen = self.docs.join(wanted, "rep").dropDuplicates(["rep"])
+        new = self.scratch.write(chosen.mapInArrow(_hashed_sets("text"), "rep long, items array<long>"), f"sets{self.number}")
+        self.made = new if self.made is None else self.made.unionByName(new)
+        return self.made
+
+
+def _with_components(posted: DataFrame, near: DataFrame | None) -> DataFrame:
+    if near is None:
+        return posted.withColumn("component", F.col("doc"))
+    return posted.join(near, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
+
+def _hub_pairs(placed: DataFrame, least: int) -> DataFrame:
+    """(u, v): for every component, its document that shares the most prefix shingles with a hub of another component.
+    The hub of a posting list is its document with the most posting entries behind its prefix: that which most others resemble."""
+    rank = F.struct("weight", -F.col("doc"))
+    hubs = placed.groupBy("token").agg(F.max_by(F.struct("doc", "size", "component"), rank).alias("hub"))
+    hubs = hubs.select("token", F.col("hub.doc").alias("u"), F.col("hub.size").alias("size_u"), F.col("hub.component").alias("other"))
+    met = placed.withColumnsRenamed({"doc": "v", "size": "size_v"}).join(hubs, "token").where((F.col("other") != F.col("component")) & _compatible(least))
+    met = met.groupBy("u", "v", "component").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where(F.col("k") >= F.least(F.lit(LEVELS), "need"))
+    best = met.groupBy("component").agg(F.max_by(F.struct("u", "v"), F.struct("k", -F.col("u"), -F.col("v"))).alias("best"))
+    return best.select("best.u", "best.v")
 
 
 def _hashed_sets(text: str):
@@ -194,11 +236,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
 
 def _levels(live: DataFrame) -> DataFrame:
-    """(doc, l): the prefix extension of least estimated cost for every document with a shared prefix shingle."""
+    """(doc, l, weight): the prefix extension of least estimated cost for every document with a shared prefix shingle, and
+    the posting entries behind its longest prefix."""
     counts = live.groupBy("token").agg((F.count(F.lit(1)) - 1).alias("others"))
     costs = live.join(counts, "token").groupBy("doc").agg(F.max("need").alias("need"), *[F.sum(F.when(F.col("level") <= l, F.col("others")).otherwise(0)).alias(f"entries{l}") for l in range(1, LEVELS + 1)])
     cost = [F.when(F.col("need") >= l, F.col(f"entries{l}") * F.lit(1 + VERIFY_COST / l)).otherwise(F.lit(float("inf"))) for l in range(1, LEVELS + 1)]
-    return costs.select("doc", F.array_position(F.array(*cost), F.array_min(F.array(*cost))).cast("int").alias("l"))
+    return costs.select("doc", F.array_position(F.array(*cost), F.array_min(F.array(*cost))).cast("int").alias("l"), F.col(f"entries{LEVELS}").alias("weight"))
 
 
 def _compatible(least: int):
@@ -223,19 +266,24 @@ def link_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     alive = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     live = postings.join(alive, "token").join(copies, "doc", "left").select("token", F.coalesce("rep", "doc").alias("doc"), "packed").distinct()
     live = scratch.write(live.select("token", "doc", (F.col("packed") / 8).cast("long").alias("size"), (F.col("packed") % 8).cast("int").alias("level")).withColumn("need", F.ceil(F.col("size") * least / 100)), "live")
-    level = scratch.write(_levels(live), "levels")
-
-    # one earlier partner for each document: that which opens most of its posting lists
-    heads = live.groupBy("token").agg(F.min("doc").alias("u"), F.min_by("size", "doc").alias("size_u"))
-    stars = live.select("token", F.col("doc").alias("v"), F.col("size").alias("size_v"), "need").join(heads, "token").where((F.col("u") < F.col("v")) & _compatible(least))
-    stars = stars.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where(F.col("k") >= F.least(F.lit(LEVELS), "need"))
-    stars = scratch.write(stars.groupBy("v").agg(F.max_by("u", F.struct("k", -F.col("u"))).alias("u")).select("u", "v"), "stars")
-    sets = scratch.write(_sets(docs, _ends(stars)), "sets")
-    found = scratch.write(_linked(stars, sets, least), "found")
-    near = scratch.write(components(found, scratch, "near").withColumnRenamed("node", "doc"), "near")
+    level = _levels(live)
+    live = scratch.write(live.join(level, "doc"), "posted")
+    scratch.drop("live")
+
+    # hubs: each component is verified against the most central document of its posting lists, again while that links
+    sets = _Sets(docs, scratch)
+    links, near = None, None
+    for k in range(HUB_ROUNDS):
+        stars = scratch.write(_hub_pairs(_with_components(live, near), least), f"stars{k}")
+        found = scratch.write(_linked(stars, sets.of(stars), least), f"found{k}")
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        near = scratch.write(components(links, scratch, f"near{k}").withColumnRenamed("node", "doc"), f"near{k}")
+        links = near.select(F.col("doc").alias("u"), F.col("component").alias("v"))
 
     # all pairs of different components that share enough prefix shingles
-    placed = live.join(near, "doc", "left").join(level, "doc").select("token", "doc", "size", "level", "l", F.coalesce("component", "doc").alias("component"))
+    placed = _with_components(live, near)
     mixed = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
     placed = scratch.write(placed.join(mixed, "token"), "placed")
     spots = placed.groupBy("token", "component").agg(F.min("size").alias("s0"), F.max("size").alias("s1"))
@@ -245,9 +293,9 @@ def link_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     pairs = meet.join(u, ["token", "cu"]).join(v, ["token", "cv"]).where(_compatible(least) & (F.col("level_u") <= F.col("l_u")) & (F.col("level_v") <= F.col("l_u")))
     pairs = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.first("l_u").alias("l")).where("k >= l").select("u", "v")
     pairs = scratch.write(pairs, "pairs")
-    other = scratch.write(_sets(docs, _ends(pairs).join(sets.select("rep"), "rep", "left_anti")), "other")
-    more = scratch.write(_linked(pairs, sets.unionByName(other), least), "more")
-    final = components(found.unionByName(more), scratch, "final").withColumnRenamed("node", "rep") if not more.isEmpty() else near.withColumnRenamed("doc", "rep")
+    more = scratch.write(_linked(pairs, sets.of(pairs), least), "more")
+    links = more if links is None else links.unionByName(more)
+    final = components(links, scratch, "final").withColumnRenamed("node", "rep")
     joined = rows.join(copies.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(final, "rep", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
