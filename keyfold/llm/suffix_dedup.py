@@ -120,14 +120,14 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     packed = np.zeros(n, np.int64)
     for k in range(first):
         packed = (packed << 9) | wide[k : n + k]
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed)
     group, h = np.zeros(n + 1, np.int64), first
     unsorted = _number(packed[order], order, np.arange(n), group)
     while len(unsorted):
         at = order[unsorted]
         ahead = np.minimum(at + h, n)  # group[n] is 0 and stands for the end
         key = group[at] * (n + 2) + group[ahead]
-        inner = np.argsort(key, kind="stable")
+        inner = np.argsort(key)
         order[unsorted] = at[inner]
         unsorted, h = _number(key[inner], at[inner], unsorted, group), 2 * h
     rank = np.empty(n, np.int64)
