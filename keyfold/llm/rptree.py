@@ -4,9 +4,14 @@ Equal vectors of one label form a class with a weight; classes are what the tree
 dimension that are larger than ``GROUP`` classes are first split by tops of trees fitted on a bounded sample
 (``SAMPLE`` vectors in all); every class is then routed through them. What arrives in one part is split on in numpy:
 random direction, median of the projections, and classes whose projection lies within ``SPILL`` quantiles of the
-median go to both sides, until a leaf has at most ``LEAF`` classes. Leaves compare all their members in double precision. A pair
-found in several leaves counts in the smallest of the leaves that both sides share, which each leaf decides from its members' leaf
-lists, so no list of pairs exists. Links become components by star contraction.
+median go to both sides, until a leaf has at most ``LEAF`` classes. Leaves compare all their members in double precision and give
+links that become components by star contraction.
+
+The forest only has to connect a component; its links are then counted exactly, every member against every other, so groups of
+any density lose none. Components of at most ``TILE`` classes are compared whole. Larger ones are dealt into tiles with a centre and
+a radius: two tiles whose centres and radii put all their pairs within the angle of ``least`` add each other's weight unseen, all
+others are compared by matrix products, a task for each two tiles. No list of pairs exists. What can be lost are links between
+vectors that no chain of links found by the ten trees connects.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, null labels and null ids link with
 nothing; vectors of different length do not link; rows that repeat an id are vectors of their own with that id; an empty
@@ -27,6 +32,7 @@ from .graph import components
 from .scratch import Scratch
 
 LEAST, TREES, LEAF, SPILL, GROUP, SAMPLE = 0.93, 10, 256, 0.06, 20_000, 20_000
+TILE, TILES, TILE_VALUES = 2048, 16, 4_000_000
 
 
 def _direction(seed: int, dim: int) -> np.ndarray:
@@ -125,21 +131,8 @@ def _grow(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _compare(least: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        here = key[0].as_py()
-        reps, weight, x = table.column("rep").to_numpy(), table.column("weight").to_numpy(), _matrix(table)
-        lists = [np.asarray(v.values) for v in table.column("leaves")]
-        names, at = np.unique(np.concatenate(lists), return_inverse=True)
-        member = np.zeros((len(reps), len(names)), np.float32)
-        member[np.repeat(np.arange(len(reps)), [len(v) for v in lists]), at] = 1
-        member = member[:, names < here]
-        label = np.arange(len(reps))
-        n = np.zeros(len(reps), np.int64)
-        step = 1024
-        for lo in range(0, len(reps), step):
-            linked = x[lo : lo + step] @ x.T >= least
-            linked[np.arange(linked.shape[0]), lo + np.arange(linked.shape[0])] = False
-            first = linked & (member[lo : lo + step] @ member.T == 0)
-            n[lo : lo + step] = first @ weight
+        reps, x = table.column("rep").to_numpy(), _matrix(table)
+        label, step = np.arange(len(reps)), 1024
         while True:  # smallest member that links reach, within this leaf
             best = label.copy()
             for lo in range(0, len(reps), step):
@@ -149,11 +142,114 @@ def _compare(least: float):
             if (best == label).all():
                 break
             label = best
-        return pa.table({"rep": reps, "n": n, "hub": reps[label]})
+        return pa.table({"rep": reps, "hub": reps[label]})
 
     return run
 
 
+def _across(x: np.ndarray, y: np.ndarray, x_weight: np.ndarray, y_weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of the rows of ``y`` that each row of ``x`` links to, and the other way round."""
+    to_x, to_y, step = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), 1024
+    for i in range(0, len(x), step):
+        for j in range(0, len(y), step):
+            linked = x[i : i + step] @ y[j : j + step].T >= least
+            to_x[i : i + step] += np.where(linked, y_weight[None, j : j + step], 0).sum(1)
+            to_y[j : j + step] += np.where(linked, x_weight[i : i + step, None], 0).sum(0)
+    return to_x, to_y
+
+
+def _inside(x: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray:
+    """Weight of the other rows that each row links to."""
+    own = (x * x).sum(1) >= least
+    return _across(x, x, weight, weight, least)[0] - np.where(own, weight, 0)
+
+
+def _whole(least: float):
+    """Links of all components of a bucket."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        component = table.column("component").to_numpy()
+        order = np.argsort(component, kind="stable")
+        reps, weight, x = table.column("rep").to_numpy()[order], table.column("weight").to_numpy()[order], _matrix(table)[order]
+        ends = np.append(np.flatnonzero(np.diff(component[order])) + 1, len(order))
+        n = np.zeros(len(order), np.int64)
+        for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+            n[lo:hi] = _inside(x[lo:hi], weight[lo:hi], least)
+        return pa.table({"rep": reps, "n": n})
+
+    return run
+
+
+PACKED = pa.schema({"component": pa.int64(), "tile": pa.int32(), "reps": pa.list_(pa.int64()), "weights": pa.list_(pa.int64()), "units": pa.list_(pa.float64()), "centre": pa.list_(pa.float64()), "radius": pa.float64(), "total": pa.int64()})
+
+
+def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """One row of a tile's unit vectors, its centre and the largest angle to it."""
+    reps, weight, x = table.column("rep").to_numpy(), table.column("weight").to_numpy(), _matrix(table)
+    centre = x.mean(0)
+    size = np.sqrt(centre @ centre)
+    centre = centre / size if size > 0 else x[0]
+    radius = float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
+    row = {"component": key[0].as_py(), "tile": key[1].as_py(), "reps": reps, "weights": weight, "units": x.ravel(), "centre": centre, "radius": radius, "total": int(weight.sum())}
+    return pa.Table.from_pylist([row], PACKED)
+
+
+def _cross(least: float):
+    """Links between two tiles, or within one."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        found = []
+        for k in range(table.num_rows):
+            reps, weight, units = (np.asarray(table.column(c)[k].values) for c in ("reps", "weights", "units"))
+            found.append((reps, weight, units.reshape(len(reps), -1)))
+        if len(found) == 1:
+            reps, weight, x = found[0]
+            return pa.table({"rep": reps, "n": _inside(x, weight, least)})
+        (a, a_weight, x), (b, b_weight, y) = found
+        return pa.table({"rep": np.concatenate([a, b]), "n": np.concatenate(_across(x, y, a_weight, b_weight, least))})
+
+    return run
+
+
+def _tiled(members: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """rep and n of the members of components of more than ``TILE`` classes; rows of one rep add up."""
+    per = F.greatest(F.lit(TILE), F.least(F.ceil(F.col("k") / TILES), (F.lit(TILE_VALUES) / F.size("vector")).cast("long")))
+    dealt = members.withColumn("tile", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / per)).cast("int"))
+    schema = "component long, tile int, reps array<long>, weights array<long>, units array<double>, centre array<double>, radius double, total long"
+    tiles = scratch.write(dealt.select("component", "tile", "rep", "weight", "vector").groupBy("component", "tile").applyInArrow(_pack, schema), "tiles")
+    side = lambda name: tiles.select("component", F.col("tile").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("centre", "radius", "total")])
+    dot = F.aggregate(F.zip_with("lo_centre", "hi_centre", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    angle = F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
+    limit = float(np.arccos(least))
+    pairs = side("lo").join(side("hi"), "component").where("lo <= hi").withColumn("angle", angle)
+    # a margin for rounding: what is this close to the bound is compared
+    pairs = pairs.withColumn("sure", F.col("angle") + F.col("lo_radius") + F.col("hi_radius") <= limit - 1e-6)
+    pairs = pairs.where(F.col("angle") - F.col("lo_radius") - F.col("hi_radius") <= limit + 1e-6).select("component", "lo", "hi", "lo_total", "hi_total", "sure")
+    pairs = scratch.write(pairs, "tile_pairs")
+    sure, open_ = pairs.where("sure"), pairs.where("not sure")
+    given = sure.select("component", F.col("lo").alias("tile"), F.col("hi_total").alias("more"), (F.col("lo") == F.col("hi")).cast("int").alias("own"))
+    given = given.unionByName(sure.where("lo < hi").select("component", F.col("hi").alias("tile"), F.col("lo_total").alias("more"), F.lit(0).alias("own")))
+    given = given.groupBy("component", "tile").agg(F.sum("more").alias("more"), F.max("own").alias("own"))
+    unseen = tiles.select("component", "tile", F.arrays_zip("reps", "weights").alias("all")).join(given, ["component", "tile"]).select("more", "own", F.inline("all"))
+    unseen = unseen.select(F.col("reps").alias("rep"), (F.col("more") - F.col("own") * F.col("weights")).alias("n"))
+    ends = open_.select("component", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("tile"))
+    met = ends.join(tiles.select("component", "tile", "reps", "weights", "units"), ["component", "tile"]).drop("tile")
+    return unseen.unionByName(met.groupBy("component", "lo", "hi").applyInArrow(_cross(least), "rep long, n long"))
+
+
+def counted(classes: DataFrame, linked: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """rep and n, the weight of all other classes of its component that a class links to."""
+    sizes = scratch.write(linked.groupBy("component").agg(F.count(F.lit(1)).alias("k")), "sizes")
+    small, large = sizes.agg(F.sum(F.when(F.col("k") <= TILE, F.col("k")).otherwise(0)), F.max("k")).first()
+    members = classes.select("rep", "weight", "vector").join(linked.select(F.col("node").alias("rep"), "component").join(sizes, "component"), "rep")
+    bucket = F.pmod(F.xxhash64("component"), F.lit(1 + (small or 0) // TILE))
+    whole = members.where(F.col("k") <= TILE).select(bucket.alias("bucket"), F.size("vector").alias("dim"), "component", "rep", "weight", "vector")
+    out = whole.groupBy("bucket", "dim").applyInArrow(_whole(least), "rep long, n long")
+    if large and large > TILE:
+        out = out.unionByName(_tiled(members.where(F.col("k") > TILE), least, scratch))
+    return out.groupBy("rep").agg(F.sum("n").alias("n"))
+
+
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = df.sparkSession
@@ -181,11 +277,10 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     dim = classes.select("rep", "label", F.size("vector").alias("dim"), "vector")
     grown = routed.join(dim, "rep").groupBy("tree", "part", "label", "dim").applyInArrow(_grow, "rep long, leaf long")
     spots = scratch.write(grown.distinct(), "leaves")
-    lists = spots.groupBy("rep").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
-    members = spots.join(classes.select("rep", "weight", "vector").join(lists, "rep"), "rep")
-    compared = scratch.write(members.select("leaf", "rep", "weight", "vector", "leaves").groupBy("leaf").applyInArrow(_compare(least), "rep long, n long, hub long"), "compared")
-    linked = components(compared.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")), scratch, "links")
-    counts = compared.groupBy("rep").agg(F.sum("n").alias("n"))
+    members = spots.join(classes.select("rep", "vector"), "rep")
+    compared = scratch.write(members.select("leaf", "rep", "vector").groupBy("leaf").applyInArrow(_compare(least), "rep long, hub long").where("rep <> hub").distinct(), "compared")
+    linked = components(compared.select(F.col("rep").alias("u"), F.col("hub").alias("v")), scratch, "links")
+    counts = counted(classes, linked, least, scratch)
     about = classes.join(counts, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     about = about.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("found"))
     sure = rows.where("sound").join(about, ["label", "vector"]).select("vec_id", "n_links", F.col("found").alias("component_id"))

@@ -61,3 +61,22 @@ def test_hot_class_of_equal_vectors_and_empty(spark):
     got = R.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
     assert all(r.n_links == 300 and r.component_id == 0 for r in got) and sum(r.kept for r in got) == 1
     assert R.near_vectors(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [2048, 500])
+def test_dense_groups_of_different_vectors_lose_no_link(spark, monkeypatch, tile):
+    monkeypatch.setattr(R, "TILE", tile, raising=False)
+    rng, dim = np.random.default_rng(5), 32
+    parts = [rng.normal(size=(600, dim))]
+    for size, noise in ((2600, 0.27), (1500, 0.08), (40, 0.2)):  # borderline, tight and small groups
+        centre = rng.normal(size=dim)
+        centre /= np.sqrt(centre @ centre)
+        parts.append(centre + noise / np.sqrt(dim) * rng.normal(size=(size, dim)))
+    x = np.concatenate(parts).astype(np.float32)
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    rows = [(i, v.tolist(), 0, None, None) for i, v in enumerate(x)]
+    rows += [(len(x) + i, x[700].tolist(), 0, None, None) for i in range(3)]  # a class of four
+    want = want + 3 * (unit @ unit[700] >= 0.93)
+    got = {r.vec_id: r.n_links for r in R.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
