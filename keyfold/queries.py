@@ -134,7 +134,7 @@ add("udtf_split", '{(udf.split "_" nation.*n.n_name).*i: count nation.*n.n_name}
 # ---- scans, sorts ----
 _RUN = "SELECT list(x ORDER BY e) AS value FROM (SELECT event_id AS e, {} OVER (ORDER BY event_id) AS x FROM events WHERE event_type = 'purchase' AND event_id < 2000)"
 for _op, _sql in {"sum": "sum(value)", "count": "count(value)", "min": "min(value)", "max": "max(value)"}.items():
-    add(f"prefix_{_op}", f'let v = array (events.*e.event_type == "purchase" && events.*e.event_id < 2000 & events.*e.value); prefix_{_op} v.*i', _RUN.format(_sql).replace("list(x ", "list(round(x, 2) " if _op == "sum" else "list(x "), after=(lambda df: df.select(F.transform("value", lambda x: F.round(x, 2)).alias("value"))) if _op == "sum" else None)
+    add(f"prefix_{_op}", f'let v = array (events.*e.event_type == "purchase" & events.*e.value); prefix_{_op} v.*i', _RUN.format(_sql).replace("list(x ", "list(round(x, 2) " if _op == "sum" else "list(x "), after=(lambda df: df.select(F.transform("value", lambda x: F.round(x, 2)).alias("value"))) if _op == "sum" else None)
 add("prefix_by_group", "{nation.*n.n_regionkey: prefix_sum nation.*n.n_nationkey}", "SELECT key, list(x ORDER BY n) AS value FROM (SELECT n_regionkey AS key, n_nationkey AS n, sum(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT AS x FROM nation) GROUP BY 1")
 add("sort_multi", 'sort (array {name: nation.*n.n_name, region: nation.*n.n_regionkey}) "region" 1 "name" 0', "SELECT n_name AS name, n_regionkey AS region FROM nation")
 add("top_k", 'sort (array {key: customer.*c.c_custkey, balance: customer.*c.c_acctbal}) "balance" 1 "key" 0', "SELECT c_custkey AS key, round(c_acctbal, 2) AS balance FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10", limit=10)
