@@ -1,6 +1,7 @@
 """Secret scans with DataFrame functions only: candidates by pattern, false positives removed by a random forest.
 
-Candidates are values assigned to key-like names, tokens with a known prefix, and long tokens of the secret alphabet.
+Candidates are quoted values, values assigned to key-like names with or without quotes, passwords in URLs, tokens with a known
+prefix (in a path too), and long tokens of the secret alphabet; the forest rejects the false ones.
 Splitting a text at its candidates gives every candidate's surroundings and place. The forest reads the candidate's
 length, its character transitions (changes of class, vowels after consonants, repeats), how much of it dictionary words
 cover, its path (slashes, dots and file-like endings in and before it) and neighbouring words. It is trained on the driver from
@@ -27,7 +28,13 @@ from pyspark.sql import functions as F
 from .forest import Forest
 
 MOST_LABELLED, LEAST_SCORE, SEED = 20_000, 0.5, 20240301
-CANDIDATE = r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?:ghp_|gho_|sk_live_|sk-|xox[bp]-|AIza|eyJ)[A-Za-z0-9_\-]{16,}|[A-Za-z0-9+/_.\-]{20,}={0,2}|(?<=[=:] ?[\"'])[^\s\"']{8,}(?=[\"'])"
+KNOWN = r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:ghp_|gho_|sk_live_|sk-|xox[bp]-|AIza|eyJ)[A-Za-z0-9_\-]{16,})"
+# a known prefix ends a long token before it, save after a letter or digit, where short prefixes occur by chance
+LONG = rf"(?:(?!(?<![A-Za-z0-9]){KNOWN})[A-Za-z0-9+/_.\-]){{20,}}+={{0,2}}"
+NAMED = r"(?<=[=: \t\"'])(?<=[=:][ \t]{0,8}[\"']?)(?<=(?i:passw(?:or)?d|passphrase|pwd|secret|token|credentials?|auth|api[_ -]?key|access[_ -]?key|private[_ -]?key|secret[_ -]?key)[\"']?[ \t]{0,8}[=:][ \t]{0,8}[\"']?)(?:(?!&\w+=)[^\s\"'`]){3,}[^\s\"'`.,;:)\]}>&]"
+URL_PASSWORD = r"(?<=:)(?<=://[^\s/:@\"']{0,128}:)[^\s/@\"']+(?=@)"
+QUOTED = r"(?<=[\"'])(?<=[=:][ \t]{0,8}[\"'])[^\s\"']{8,}(?=[\"'])"
+CANDIDATE = rf"{KNOWN}|{URL_PASSWORD}|{NAMED}|{LONG}|{QUOTED}"
 # Words that mark credentials, words that mark other values, and common words for dictionary coverage.
 SECRET_WORDS = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer|aws|client[_ -]?id)"
 OTHER_WORDS = r"(?i)(sha1|sha256|md5|digest|commit|checksum|hash|uuid|etag|revision|example|sample|dummy|placeholder|test|changeme|xxxx|http|href|src=|www)"
@@ -102,6 +109,9 @@ def labelled_findings(seed: int = SEED, each: int = 130) -> list[tuple[str, int]
     close = lambda a: a[-1] if a[-1] in "\"'" else ""
     strong = lambda: rng.choice([lambda: pick(hexa, rng.choice([32, 40, 64])), lambda: pick(alnum, rng.randint(20, 48)), lambda: base64.b64encode(rng.randbytes(rng.randint(18, 40))).decode()])()
 
+    def marked(n):
+        return pick(string.ascii_lowercase, 2) + pick(alnum + "!@#$%&*", n - 4) + pick(string.digits, 1) + pick(string.ascii_letters, 1)
+
     def assigned(key, value):
         a = assign()
         return f"{lead()}{key}{a}{value}{close(a)} {syllables(3)}"
@@ -125,6 +135,10 @@ def labelled_findings(seed: int = SEED, each: int = 130) -> list[tuple[str, int]
         (0, lambda: f"{lead()}{pick(string.digits, rng.randint(20, 28))} {syllables(2)}"),
         (0, lambda: f'{lead()}{rng.choice(["title", "name", "value", "label"])} = "{words(rng.randint(2, 3), "-")}" {syllables(2)}'),
         (0, lambda: f"{lead()}{words(2, '.')}.{pick(string.digits, 2)}@mail{pick(string.digits, 1)}.{words(1, '')}.example.com {syllables(2)}"),
+        (1, lambda: f"{lead()}{rng.choice(['DB_PASSWORD=', 'password: ', 'pwd=', 'passwd = ', 'SECRET=', 'api_key: '])}{marked(rng.randint(8, 22))} {syllables(2)}"),
+        (1, lambda: f"{lead()}{rng.choice(['postgres', 'mysql', 'amqp', 'https'])}://{words(1, '')}:{marked(rng.randint(8, 16)).replace('@', 'a')}@{words(1, '')}.{words(1, '')}/{words(1, '')} {syllables(2)}"),
+        (1, lambda: f"{lead()}https://{pick(string.ascii_lowercase, 4)}/{pick(string.ascii_lowercase, 4)}/{rng.choice(['AKIA', 'ASIA'])}{pick(string.ascii_uppercase + string.digits, 16)} {syllables(2)}"),
+        (0, lambda: f"{lead()}{rng.choice(['password: ', 'token: ', 'secret = ', 'pwd=', 'api_key: ', 'auth='])}{rng.choice([words(1, ''), syllables(rng.randint(2, 4)), 'None', 'null', 'true', 'false', 'string', 'required', 'self.' + words(1, ''), 'changeme', '********', 'xxxxxxxx', '${' + words(2, '_').upper() + '}'])} {syllables(2)}"),
     ]
     return [(make(), label) for label, make in kinds for _ in range(each)]
 
@@ -133,7 +147,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> Forest:
     """A forest from labelled findings: text with one candidate (its first counts), is_secret 0 or 1."""
     if labelled is None:
         labelled = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(labelled_findings())], "id int, text string, is_secret int")
-    rows = featured(candidates(labelled.where("is_secret is not null").limit(MOST_LABELLED), ["is_secret", "text"], "text").dropDuplicates(["k1", "k0"]))
+    found = candidates(labelled.where("is_secret is not null").limit(MOST_LABELLED), ["is_secret", "text"], "text")
+    rows = featured(found.groupBy("k1", "k0").agg(F.min(F.struct("start", "value", "before", "after")).alias("first")).select("k1", "k0", "first.*"))
     got = rows.select("k1", "k0", *FEATURES).orderBy("k1", "k0").limit(MOST_LABELLED).collect()
     x = np.array([[r[f] for f in FEATURES] for r in got], float).reshape(-1, len(FEATURES))
     return Forest.train(FEATURES, x, np.array([r["k0"] for r in got]))
