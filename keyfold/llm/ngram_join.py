@@ -1,23 +1,26 @@
 """Jaccard self-join of word 5-gram sets with adaptive multi-match prefixes.
 
-1. Scan: per document the number of distinct shingles and a 128-bit digest of the sorted set; per partition one
-   fixed-size counting sketch of all shingles. Equal digests form classes, each represented by its smallest id.
-2. Prefixes: shingles are ordered by (frequency class in the summed sketch, hash), rare ones first. If two sets
-   share at least ``least`` per cent, then for every l both have l common shingles among the first
-   n - ceil(least * n / 100) + l of each. Those for l up to ``LEVELS`` are emitted with the level that adds them,
-   once per distinct set of a partition; shingles that stay alone are dropped.
-3. Each representative lengthens its prefix to the l of least estimated cost: posting entries read plus candidates
-   expected (entries / l), each weighted with what a verification costs.
-4. Near copies first: every component (at first a document) is verified against the hub of another that shares the most
+1. Counting: every distinct shingle of every document goes once, packed to four bytes, to the task of its hash range,
+   which answers how many shingles of a document some other row has too. Partitions combine shingles that repeat among
+   their own rows first. Two documents of n and m shingles that link share at least ``overlap(n, m)``, so a document
+   that shares fewer than ``least`` per cent of its own has no link and is done.
+2. Of the rest, rows with equal sets (128-bit digests) are one node. Shingles are ordered by exact document frequency
+   among the nodes, rare ones first; those of one node alone come before all others. If two sets share ``o`` shingles,
+   then for every l <= o both have l common ones among their first n - o + l. A posting therefore has a greatest partner
+   size, from its place, its node's size and the node's shared shingles, and only postings within each other's reach meet.
+3. Each node lengthens its prefix to the l of least estimated cost: posting entries read plus candidates expected
+   (entries / l), each weighted with what a verification costs.
+4. Near copies first: every component (at first a node) is verified against the hub of another that shares the most
    prefix shingles with it, and what links becomes one component; up to ``HUB_ROUNDS`` times. Then all pairs of different
    components that share l prefix shingles are verified, so no pair inside a component is listed and no link is missed.
-5. Components by star contraction; copies follow their representative.
+5. Components by star contraction; rows with equal sets follow their node, ids that repeat join theirs.
 
-Memory follows the block size; posting lists are joined as rows, never gathered. Hashes have 64 bits with 58 used for
-identity inside a pair of documents; digests of sets have 128.
+Memory follows the block size and the shingles of one hash range; posting lists are joined as rows, never gathered.
+Shingles are compared by 64-bit hashes (the first count by 32 bits and the range, which can only keep more documents),
+whole sets by digests of 128.
 
 Defined results: null or wordless texts have no shingle, link with nothing and are their own component; fewer than
-five words make one shingle; rows that repeat an id give one row each, ids being the nodes; a null id is its own
+five words make one shingle; rows that repeat an id give one row each, ids being what is linked; a null id is its own
 component (null) and lends no link; an empty table gives an empty result; other columns are not read.
 """
 
@@ -28,16 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesops import blocks, column, mix64, prefix_hash, span_hash, words
 from .graph import components
-from .scratch import Scratch
+from .scratch import Scratch, few
 
 WORDS, LEAST, LEVELS = 5, 75, 4
-SKETCH_BITS, SKETCH_BLOCKS, COUNTED_AT_ONCE = 22, 256, 1 << 21
 VERIFY_COST, HUB_ROUNDS = 20.0, 3
+#: Shingles that one range is meant for, bytes of text that one shingle is reckoned to take, most ranges, and shingles of a
+#: chunk, so that a chunk has some hundreds for each range.
+RANGE_SHINGLES, SHINGLE_BYTES, MOST_RANGES, CHUNK_SHINGLES = 1 << 19, 6, 1 << 16, 1 << 20
 _STEP = np.random.default_rng(5).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -75,232 +81,290 @@ def distinct_sets(value: np.ndarray, row: np.ndarray, rows: int) -> Iterator[np.
             part = part[np.concatenate([[True], part[1:] != part[:-1]])]
         yield part
 
-
-def _scan(doc_id: str, text: str):
+def overlap(n: int, m: int, least: int = LEAST) -> int:
+    """Fewest shingles that sets of n and m have in common if they link."""
+    return -(-least * (n + m) // (100 + least))
+
+
+def _sets(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, distinct shingles of each row) of blocks of texts."""
+    for lo, hi, data, offs in blocks(texts):
+        value, row = shingles(data, offs)
+        yield lo, list(distinct_sets(value, row, hi - lo))
+
+
+class _Chunk:
+    """Documents whose shingles are sent to the ranges together."""
+
+    def __init__(self) -> None:
+        self.ids: list[int | None] = []
+        self.sets: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc_id: int | None, shingles: np.ndarray) -> None:
+        self.ids.append(doc_id)
+        self.sets.append(shingles)
+        self.size += len(shingles)
+
+    def rows(self, range_bits: int, where: tuple[int, int]) -> pa.RecordBatch:
+        """A row for each range: what repeats among these documents, and by document what does not."""
+        n = np.array([len(x) for x in self.sets], np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
+        key = np.concatenate(self.sets) >> np.uint64(32 - range_bits)
+        _, at, times = np.unique(key, return_inverse=True, return_counts=True)
+        repeats = times[at] > 1
+        local = np.bincount(owner[repeats], minlength=len(n))
+        digests = b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in self.sets)
+        shared, (single, owner) = np.unique(key[repeats]), (key[~repeats], owner[~repeats])
+        part = (single >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")  # by range, then by document
+        single, owner, part = single[order], owner[order], part[order]
+        edges = np.arange((1 << range_bits) + 1)
+        cuts, shared_cuts = np.searchsorted(part, edges), np.searchsorted((shared >> np.uint64(32)).astype(np.int64), edges)
+        used = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(shared_cuts) > 0))
+        used = used if len(used) else np.zeros(1, np.int64)
+        low = lambda x: (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+        valid = np.array([i is not None for i in self.ids], np.int64)
+        ids = np.array([i or 0 for i in self.ids], np.int64)
+        head = np.concatenate([[len(used), len(n)], ids, valid, n, local, np.frombuffer(digests, np.int64)]).astype(np.int64).tobytes()
+        name = xxhash.xxh3_64_intdigest(head, seed=where[0] << 32 | where[1])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(used.astype(np.int32)),
+                pa.array(np.full(len(used), name, np.uint64).view(np.int64)),
+                pa.array([low(shared[shared_cuts[r] : shared_cuts[r + 1]]) for r in used], pa.binary()),
+                pa.array([low(single[cuts[r] : cuts[r + 1]]) for r in used], pa.binary()),
+                pa.array([np.bincount(owner[cuts[r] : cuts[r + 1]], minlength=len(n)).astype(np.uint32).tobytes() for r in used], pa.binary()),
+                pa.array([head] + [None] * (len(used) - 1), pa.binary()),
+            ],
+            ["part", "chunk", "shared", "single", "owners", "head"],
+        )
+
+
+def _packed(doc_id: str, text: str, range_bits: int, chunk_shingles: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        waiting: list[np.ndarray] = []
-
-        def count() -> None:
-            if waiting:
-                cells, n = np.unique((np.concatenate(waiting) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
-                sketch[cells] += n.astype(np.uint32)
-                waiting.clear()
-
-        names = ["doc_id", "n", "h1", "h2", "block", "counts"]
+        chunk, sent, task = _Chunk(), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for lo, hi, data, offs in blocks(column(batch, text)):
-                value, row = shingles(data, offs)
-                waiting.append(value)
-                if sum(map(len, waiting)) > COUNTED_AT_ONCE:
-                    count()
-                sizes, digests = [], []
-                for part in distinct_sets(value, row, hi - lo):
-                    sizes.append(len(part))
-                    digests.append(xxhash.xxh3_128_digest(part.tobytes()))
-                h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                none = pa.nulls(hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(doc_id).slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), none.cast(pa.int32()), none.cast(pa.binary())], names)
-        count()
-        parts = sketch.reshape(SKETCH_BLOCKS, -1)
-        used = np.flatnonzero(parts.any(1))
-        none = pa.nulls(len(used)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(used, pa.int32()), pa.array([parts[b].tobytes() for b in used], pa.binary())], names)
+            ids = batch.column(doc_id).cast(pa.int64()).to_pylist()
+            for lo, parts in _sets(column(batch, text)):
+                for k, part in enumerate(parts):
+                    chunk.add(ids[lo + k], part)
+                    if chunk.size >= chunk_shingles or len(chunk.ids) >= chunk_shingles >> 4:
+                        yield chunk.rows(range_bits, (task, sent))
+                        chunk, sent = _Chunk(), sent + 1
+        if chunk.ids:
+            yield chunk.rows(range_bits, (task, sent))
 
     return run
 
 
-def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk of one range, how many of the range's shingles each of its documents shares with another row."""
+    chunks, shared, single, owners, heads = [], [], [], [], []
     for batch in batches:
-        for block, raw in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-            counts = np.frombuffer(raw.as_buffer(), np.uint32)
-            total[block] = total.get(block, 0) + counts.astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
-
+        chunks += batch.column("chunk").to_pylist()
+        heads += batch.column("head").to_pylist()
+        for name, out, kind in (("shared", shared, np.uint32), ("single", single, np.uint32), ("owners", owners, np.uint32)):
+            out += [np.frombuffer(x.as_buffer(), kind).copy() for x in batch.column(name)]
+    sizes = np.array([len(x) for x in single])
+    tokens = np.concatenate(single)
+    order = np.argsort(tokens, kind="stable")
+    ascending = tokens[order]
+    same = ascending[1:] == ascending[:-1]
+    met = np.zeros(len(tokens), bool)
+    met[order[1:][same]] = True
+    met[order[:-1][same]] = True
+    known = np.unique(np.concatenate(shared))
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        met |= known[at] == tokens
+    counts, lo = [], 0
+    for size, own in zip(sizes, owners, strict=True):
+        hits = np.concatenate([[0], np.cumsum(met[lo : lo + size])])
+        edges = np.concatenate([[0], np.cumsum(own.astype(np.int64))])
+        counts.append((hits[edges[1:]] - hits[edges[:-1]]).astype(np.uint32).tobytes())
+        lo += size
+    yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(counts, pa.binary()), pa.array(heads, pa.binary())], ["chunk", "counts", "head"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of one chunk, with the counts of all ranges added up."""
+    total, head, rows = np.zeros(1, np.int64), None, 0
+    for batch in batches:
+        for counts, h in zip(batch.column("counts"), batch.column("head"), strict=True):
+            total = total + np.frombuffer(counts.as_buffer(), np.uint32)
+            head = h.as_py() if h.is_valid else head
+            rows += 1
+    if head is None or int.from_bytes(head[:8], "little") != rows:
+        raise RuntimeError("the input gave other rows when a lost task ran again; write it as a table first")
+    n = int.from_bytes(head[8:16], "little")
+    ids, valid, size, local, digests = np.split(np.frombuffer(head, np.int64, offset=16), [n, 2 * n, 3 * n, 4 * n])
+    digests = digests.reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(size), pa.array(total + local), pa.array(digests[:, 0]), pa.array(digests[:, 1])], ["doc_id", "n", "m", "h1", "h2"])
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, m, h1, h2) of every row: distinct shingles, those that another row has too, digest of the set."""
+    bytes_of_text = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    range_bits = max(4, min(MOST_RANGES, bytes_of_text // SHINGLE_BYTES // RANGE_SHINGLES).bit_length())
+    chunk = max(CHUNK_SHINGLES, 64 << range_bits)
+    sent = docs.mapInArrow(_packed("doc_id", "text", range_bits, chunk), "part int, chunk long, shared binary, single binary, owners binary, head binary")
+    answered = sent.groupBy("part").applyInArrow(_answered, "chunk long, counts binary, head binary")
+    return answered.groupBy("chunk").applyInArrow(_summed, "doc_id long, n long, m long, h1 long, h2 long")
+
+
+def _hashed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, parts in _sets(column(batch, "text")):
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in parts), np.int64).reshape(-1, 2)
+            edges = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            items = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(parts).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), items], ["h1", "h2", "items"])
 
-def frequency_classes(scanned: DataFrame) -> np.ndarray:
-    """Class 0 to 63 of every sketch cell: how far its count lies above what evenly spread shingles give."""
-    total = np.zeros(1 << SKETCH_BITS, np.int64).reshape(SKETCH_BLOCKS, -1)
-    parts = scanned.where("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS // 4, "block").mapInArrow(_sum_sketch, "block int, counts binary")
-    for r in parts.collect():  # of fixed size, whatever the input
-        total[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    total = total.reshape(-1)
-    even = float(np.median(total)) + 1
-    return np.clip(np.ceil(4 * np.log2(np.maximum(total + 1.0, 1.0) / (2 * even))), 0, 63).astype(np.uint8)
 
+def _named(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``classes`` with a number ``node`` of each that no other has."""
+    for seed in range(9):
+        named = scratch.write(classes.withColumn("node", F.xxhash64("h1", "h2", F.lit(seed))), f"classes{seed}")
+        if named.groupBy("node").count().where("count > 1").isEmpty():
+            return named
+    raise RuntimeError("no seed numbers the sets without a clash")
 
-def ordered(value: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Shingle identities that sort by frequency class and then by hash."""
-    kind = classes[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    return (kind << np.uint64(58)) | (mix64(value) >> np.uint64(6))
 
+def _at_least(part: Column, whole: Column, least: int) -> Column:
+    return part * 100 >= whole * least
 
-def overlap(n, least: int = LEAST):
-    """Fewest shingles that a set of n shares with any linked set."""
-    return -(-least * n // 100)
 
+def _reach(l: Column, least: int, side: str = "") -> Column:
+    """The greatest size of a set that can share l prefix shingles with this posting's, this being one of them: both hold at
+    least least * (n + size) / (100 + least) in common, which must fit into the node's shared shingles and what follows."""
+    n, m, place = (F.col(x + side) for x in ("n", "m", "place"))
+    most = F.least(m, n + l - 1 - place)
+    return F.floor((100 + least) * most / least) - n
 
-def _prefixes(doc_id: str, text: str, shared, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
-        met: set[bytes] = set()  # sets of this partition whose postings are out; 16 bytes a document
-        for batch in batches:
-            ids = batch.column(doc_id).cast(pa.int64())
-            for lo, hi, data, offs in blocks(column(batch, text)):
-                value, row = shingles(data, offs)
-                own = ids.slice(lo, hi - lo)
-                valid = np.asarray(own.is_valid())
-                own = own.fill_null(0).to_numpy()
-                tokens, docs, sizes, levels = [], [], [], []
-                for i, part in enumerate(distinct_sets(ordered(value, classes), row, hi - lo)):
-                    n = len(part)
-                    key = xxhash.xxh3_128_digest(part.tobytes())
-                    if not n or key in met or not valid[i]:
-                        continue
-                    met.add(key)
-                    base = n - overlap(n, least) + 1
-                    head = part[: base + LEVELS - 1]
-                    tokens.append(head)
-                    docs.append(np.full(len(head), own[i]))
-                    sizes.append(np.full(len(head), n))
-                    levels.append(np.maximum(1, np.arange(len(head)) - base + 2))
-                if tokens:
-                    packed = np.concatenate(sizes) * 8 + np.concatenate(levels)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(packed)], ["token", "doc", "packed"])
 
-    return run
+def _postings(sets: DataFrame, least: int) -> DataFrame:
+    """(token, node, n, m, place, need) of prefixes, extended by LEVELS - 1; shingles that one set alone has are left out."""
+    tokens = sets.select("node", F.col("size").alias("n"), F.explode("items").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    by_node = Window.partitionBy("node")
+    placed = tokens.join(often, "token").withColumn("place", F.row_number().over(by_node.orderBy("k", "token"))).withColumn("m", F.count(F.lit(1)).over(by_node))
+    placed = placed.where(_at_least(F.col("m"), F.col("n"), least)).withColumn("need", F.ceil(F.col("n") * least / 100))
+    return placed.where(F.col("place") <= F.col("m") - F.col("need") + LEVELS).select("token", "node", "n", "m", (F.col("n") - F.col("m") + F.col("place") - 1).alias("place"), "need")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+def _levels(live: DataFrame) -> DataFrame:
+    """(node, l, weight): the prefix extension of least estimated cost, and the posting entries behind the longest prefix."""
+    counts = live.groupBy("token").agg((F.count(F.lit(1)) - 1).alias("others"))
+    inside = lambda l: F.col("place") < F.col("n") - F.col("need") + l
+    costs = live.join(counts, "token").groupBy("node").agg(F.max("need").alias("need"), *[F.sum(F.when(inside(l), F.col("others")).otherwise(0)).alias(f"entries{l}") for l in range(1, LEVELS + 1)])
+    cost = [F.when(F.col("need") >= l, F.col(f"entries{l}") * F.lit(1 + VERIFY_COST / l)).otherwise(F.lit(float("inf"))) for l in range(1, LEVELS + 1)]
+    return costs.select("node", F.array_position(F.array(*cost), F.array_min(F.array(*cost))).cast("int").alias("l"), F.col(f"entries{LEVELS}").alias("weight"))
 
 
-class _Sets:
-    """Whole sets (rep, items) of the documents that pairs name, each made once."""
+def _with_components(posted: DataFrame, near: DataFrame | None) -> DataFrame:
+    if near is None:
+        return posted.withColumn("component", F.col("node"))
+    return posted.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    def __init__(self, docs: DataFrame, scratch: Scratch):
-        self.docs, self.scratch, self.made, self.number = docs.withColumnRenamed("doc_id", "rep"), scratch, None, 0
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        wanted = _ends(pairs)
-        self.number += 1
-        if self.made is not None:
-            wanted = self.scratch.write(wanted.join(self.made.select("rep"), "rep", "left_anti"), f"wanted{self.number}")
-            if wanted.isEmpty():
-                return self.made
-        chosen = self.docs.join(wanted, "rep").dropDuplicates(["rep"])
-        new = self.scratch.write(chosen.mapInArrow(_hashed_sets("text"), "rep long, items array<long>"), f"sets{self.number}")
-        self.made = new if self.made is None else self.made.unionByName(new)
-        return self.made
+def _within(l: Column, least: int) -> Column:
+    """Whether postings of u and v are in each other's reach."""
+    u, v = F.col("n_u"), F.col("n_v")
+    return _at_least(u, v, least) & _at_least(v, u, least) & (v <= _reach(l, least, "_u")) & (u <= _reach(l, least, "_v"))
 
 
-def _with_components(posted: DataFrame, near: DataFrame | None) -> DataFrame:
-    if near is None:
-        return posted.withColumn("component", F.col("doc"))
-    return posted.join(near, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+def _side(placed: DataFrame, side: str, **names: str) -> DataFrame:
+    kept = {"n": f"n_{side}", "m": f"m_{side}", "place": f"place_{side}", "node": side, **names}
+    return placed.select("token", *[F.col(a).alias(b) for a, b in kept.items()])
 
 
 def _hub_pairs(placed: DataFrame, least: int) -> DataFrame:
-    """(u, v): for every component, its document that shares the most prefix shingles with a hub of another component.
-    The hub of a posting list is its document with the most posting entries behind its prefix: that which most others resemble."""
-    rank = F.struct("weight", -F.col("doc"))
-    hubs = placed.groupBy("token").agg(F.max_by(F.struct("doc", "size", "component"), rank).alias("hub"))
-    hubs = hubs.select("token", F.col("hub.doc").alias("u"), F.col("hub.size").alias("size_u"), F.col("hub.component").alias("other"))
-    met = placed.withColumnsRenamed({"doc": "v", "size": "size_v"}).join(hubs, "token").where((F.col("other") != F.col("component")) & _compatible(least))
+    """(u, v): for every component, its node that shares the most prefix shingles with a hub of another component.
+    The hub of a posting list is its node with the most posting entries behind its prefix: that which most others resemble."""
+    rank = F.struct("weight", -F.col("node"))
+    hubs = placed.groupBy("token").agg(F.max_by(F.struct("node", "n", "m", "place", "component"), rank).alias("hub")).select("token", "hub.*")
+    met = _side(placed, "v", component="component", need="need").join(_side(hubs, "u", component="other"), "token").where((F.col("other") != F.col("component")) & _within(F.lit(LEVELS), least))
     met = met.groupBy("u", "v", "component").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where(F.col("k") >= F.least(F.lit(LEVELS), "need"))
     best = met.groupBy("component").agg(F.max_by(F.struct("u", "v"), F.struct("k", -F.col("u"), -F.col("v"))).alias("best"))
     return best.select("best.u", "best.v")
 
 
-def _hashed_sets(text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in blocks(column(batch, text)):
-                value, row = shingles(data, offs)
-                parts = list(distinct_sets(value, row, hi - lo))
-                edges = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                items = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(parts).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), items], ["rep", "items"])
-
-    return run
+def _far_pairs(placed: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+    """(u, v) of different components whose prefixes, lengthened to u's l, share l shingles within each other's reach."""
+    mixed = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
+    placed = scratch.write(placed.join(mixed, "token"), "placed")
+    spots = placed.groupBy("token", "component").agg(F.min("n").alias("s0"), F.max("n").alias("s1"), F.max(_reach(F.lit(LEVELS), least)).alias("reach"))
+    a, b = (spots.select("token", *[F.col(x).alias(f"{x}_{k}") for x in ("component", "s0", "s1", "reach")]) for k in "uv")
+    close = _at_least(F.col("s1_u"), F.col("s0_v"), least) & _at_least(F.col("s1_v"), F.col("s0_u"), least) & (F.col("reach_u") >= F.col("s0_v")) & (F.col("reach_v") >= F.col("s0_u"))
+    meet = a.join(b, "token").where((F.col("component_u") < F.col("component_v")) & close).select("token", "component_u", "component_v")
+    u, v = _side(placed, "u", component="component_u", l="l"), _side(placed, "v", component="component_v")
+    pairs = meet.join(u, ["token", "component_u"]).join(v, ["token", "component_v"]).where(_within(F.col("l"), least))
+    return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.first("l").alias("l")).where("k >= l").select("u", "v")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """The pairs (u, v) that reach the similarity, by intersecting their whole sets."""
-    left = sets.select(F.col("rep").alias("u"), F.col("items").alias("items_u"))
-    right = sets.select(F.col("rep").alias("v"), F.col("items").alias("items_v"))
+    u, v = (sets.select(F.col("node").alias(k), F.col("items").alias(f"items_{k}")) for k in "uv")
     common = F.size(F.array_intersect("items_u", "items_v"))
-    reached = common * 100 >= (F.size("items_u") + F.size("items_v") - common) * least
-    return pairs.join(right, "v").join(left, "u").where(reached).select("u", "v")
-
-
-def _levels(live: DataFrame) -> DataFrame:
-    """(doc, l, weight): the prefix extension of least estimated cost for every document with a shared prefix shingle, and
-    the posting entries behind its longest prefix."""
-    counts = live.groupBy("token").agg((F.count(F.lit(1)) - 1).alias("others"))
-    costs = live.join(counts, "token").groupBy("doc").agg(F.max("need").alias("need"), *[F.sum(F.when(F.col("level") <= l, F.col("others")).otherwise(0)).alias(f"entries{l}") for l in range(1, LEVELS + 1)])
-    cost = [F.when(F.col("need") >= l, F.col(f"entries{l}") * F.lit(1 + VERIFY_COST / l)).otherwise(F.lit(float("inf"))) for l in range(1, LEVELS + 1)]
-    return costs.select("doc", F.array_position(F.array(*cost), F.array_min(F.array(*cost))).cast("int").alias("l"), F.col(f"entries{LEVELS}").alias("weight"))
-
+    return pairs.join(u, "u").join(v, "v").where(common * 100 >= (F.size("items_u") + F.size("items_v") - common) * least).select("u", "v")
 
-def _compatible(least: int):
-    return (F.col("size_u") * 100 >= F.col("size_v") * least) & (F.col("size_v") * 100 >= F.col("size_u") * least)
 
-
-def link_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    spark = df.sparkSession
-    scratch = Scratch(spark, "ngram-join")
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scanned = scratch.write(docs.mapInArrow(_scan("doc_id", "text"), "doc_id long, n long, h1 long, h2 long, block int, counts binary"), "scanned")
-    shared = spark.sparkContext.broadcast(frequency_classes(scanned))  # 2**SKETCH_BITS bytes
-    rows = scanned.where("block is null").select("doc_id", "n", "h1", "h2")
-
-    # classes of equal sets; members other than the representative
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    copies = scratch.write(rows.join(classes, ["h1", "h2"]).where("doc_id <> rep").groupBy(F.col("doc_id").alias("doc")).agg(F.min("rep").alias("rep")), "copies")
-
-    # postings of prefix shingles that at least two documents share
-    postings = docs.mapInArrow(_prefixes("doc_id", "text", shared, least), "token long, doc long, packed long")
-    alive = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    live = postings.join(alive, "token").join(copies, "doc", "left").select("token", F.coalesce("rep", "doc").alias("doc"), "packed").distinct()
-    live = scratch.write(live.select("token", "doc", (F.col("packed") / 8).cast("long").alias("size"), (F.col("packed") % 8).cast("int").alias("level")).withColumn("need", F.ceil(F.col("size") * least / 100)), "live")
-    level = _levels(live)
-    live = scratch.write(live.join(level, "doc"), "posted")
+def _links(sets: DataFrame, scratch: Scratch, least: int) -> DataFrame | None:
+    """Links (u, v) between nodes that join what similarity joins; None without postings."""
+    live = _postings(sets, least)
+    live = scratch.write(live.join(live.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "token", "left_semi"), "live")
+    scratch.release()
+    live = scratch.write(live.join(_levels(live), "node"), "posted")
     scratch.drop("live")
-
-    # hubs: each component is verified against the most central document of its posting lists, again while that links
-    sets = _Sets(docs, scratch)
     links, near = None, None
     for k in range(HUB_ROUNDS):
         stars = scratch.write(_hub_pairs(_with_components(live, near), least), f"stars{k}")
-        found = scratch.write(_linked(stars, sets.of(stars), least), f"found{k}")
+        found = scratch.write(_linked(stars, sets, least), f"found{k}")
+        scratch.release()
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        near = scratch.write(components(links, scratch, f"near{k}").withColumnRenamed("node", "doc"), f"near{k}")
-        links = near.select(F.col("doc").alias("u"), F.col("component").alias("v"))
+        near = scratch.write(components(links, scratch, f"near{k}"), f"near{k}")
+        links = near.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    pairs = scratch.write(_far_pairs(_with_components(live, near), scratch, least), "pairs")
+    more = scratch.write(_linked(pairs, sets, least), "more")
+    return more if links is None else links.unionByName(more)
 
-    # all pairs of different components that share enough prefix shingles
-    placed = _with_components(live, near)
-    mixed = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    placed = scratch.write(placed.join(mixed, "token"), "placed")
-    spots = placed.groupBy("token", "component").agg(F.min("size").alias("s0"), F.max("size").alias("s1"))
-    a, b = (spots.select("token", F.col("component").alias(f"c{k}"), F.col("s0").alias(f"s0{k}"), F.col("s1").alias(f"s1{k}")) for k in "uv")
-    meet = a.join(b, "token").where((F.col("cu") < F.col("cv")) & (F.col("s1u") * 100 >= F.col("s0v") * least) & (F.col("s1v") * 100 >= F.col("s0u") * least)).select("token", "cu", "cv")
-    u, v = (placed.select("token", F.col("component").alias(f"c{k}"), F.col("doc").alias(k), F.col("size").alias(f"size_{k}"), F.col("level").alias(f"level_{k}"), F.col("l").alias(f"l_{k}")) for k in "uv")
-    pairs = meet.join(u, ["token", "cu"]).join(v, ["token", "cv"]).where(_compatible(least) & (F.col("level_u") <= F.col("l_u")) & (F.col("level_v") <= F.col("l_u")))
-    pairs = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.first("l_u").alias("l")).where("k >= l").select("u", "v")
-    pairs = scratch.write(pairs, "pairs")
-    more = scratch.write(_linked(pairs, sets.of(pairs), least), "more")
-    links = more if links is None else links.unionByName(more)
-    final = components(links, scratch, "final").withColumnRenamed("node", "rep")
-    joined = rows.join(copies.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(final, "rep", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+
+def link_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    scratch = Scratch(df.sparkSession, "ngram-join")
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = scratch.write(counted(docs), "counted")
+    scratch.release()
+
+    # nodes: distinct sets that share enough shingles with others; equal sets share all
+    hopeful = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull() & _at_least(F.col("m"), F.col("n"), least))
+    classes = _named(hopeful.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("size")), scratch)
+    members = scratch.write(hopeful.join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node").distinct(), "members")
+    chosen = docs.join(few(classes.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    sets = chosen.mapInArrow(_hashed_sets, "h1 long, h2 long, items array<long>").groupBy("h1", "h2").agg(F.first("items").alias("items"))
+    sets = scratch.write(sets.join(classes.select("h1", "h2", "node", "size"), ["h1", "h2"]).select("node", "size", "items"), "sets")
+    scratch.release()
+
+    links = _links(sets, scratch, least)
+    torn = members.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v").select("u", "v")
+    several = members.join(torn.select("u").distinct(), F.col("node") == F.col("u"), "left_semi").join(members.withColumnRenamed("node", "v"), "doc_id").select(F.col("node").alias("u"), "v").where("u <> v")
+    joined = components(links.unionByName(several), scratch, "final")
+    placed = classes.select("node", "rep").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least_ids = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    owned = members.join(placed.select("node", "component"), "node").join(least_ids, "component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    result = scratch.write(rows.select("doc_id", F.col("n").alias("n_shingles")).join(owned, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")), "result")
+    scratch.keep("result")
+    return result
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """``df`` without rows whose id is not the smallest of their component."""
+    """``df`` without rows whose id is not the smallest of their component. Nulls, empty texts and an empty table are as for
+    ``link_components``; rows that repeat the id that stays all stay, and columns may have any names."""
+    scratch = Scratch(df.sparkSession, "ngram-keep")
     gone = link_components(df, doc_id, text, least).where("doc_id <> component_id").select(F.col("doc_id").alias("kf_gone")).distinct()
-    return df.join(gone, F.col(doc_id).cast("long") == F.col("kf_gone"), "left_anti")
+    names = [f"c{i}" for i in range(len(df.columns))]
+    kept = df.toDF(*names).join(few(scratch.write(gone, "gone")), F.col(names[df.columns.index(doc_id)]).cast("long") == F.col("kf_gone"), "left_anti")
+    return kept.toDF(*df.columns)

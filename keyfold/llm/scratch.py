@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once: batches of whole texts stay small on both sides.
 ROWS_PER_BATCH = 1000
@@ -16,9 +17,11 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where it is unset (tests, local mode)."""
+    """The session's spark.checkpoint.dir; a temporary folder only where it is unset and there is one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="keyfold-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -30,6 +33,16 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of ids or hashes that may be broadcast, some 32 MB as a hashed relation.
+FEW_ROWS = 1 << 20
+
+
+def few(written: DataFrame) -> DataFrame:
+    """``written``, a narrow table that is cheap to count, to be broadcast if it has no more than FEW_ROWS rows; beyond that
+    the planner joins it by shuffling."""
+    return F.broadcast(written) if written.limit(FEW_ROWS + 1).count() <= FEW_ROWS else written
+
+
 class Scratch:
     """A folder of Parquet tables that cut lineage: a lost executor costs a reread, never a recomputation.
 
@@ -40,6 +53,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/keyfold-{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -49,7 +63,7 @@ class Scratch:
             df.write.parquet(f"{self.path}/{name}")
         finally:
             self.spark.conf.set(_BATCH, batch)
-        self.release()
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def release(self) -> None:
@@ -60,6 +74,12 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, f"{self.path}/{name}")
+        self.names -= {*names}
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these, and the shuffle files of what made them."""
+        self.drop(*(self.names - {*names}))
+        self.release()
 
     def close(self) -> None:
         if os.environ.get("KEYFOLD_KEEP_SCRATCH"):
