@@ -4,10 +4,12 @@ Text is lower-cased and everything but letters and digits becomes a space; line
 A unit is a line, or a whole text of several lines, so that wrapped licence texts are one unit too. Units and
 templates are sets of word bigrams (one word: that word), compared by Dice's coefficient 2|A and B| / (|A| + |B|). A coefficient of
 ``least`` needs |A| between |B| * least / (2 - least) and |B| * (2 - least) / least, so a unit meets only templates whose
-size bounds hold its word count, and units that no template can match are dropped before bigrams are formed.
+size bounds hold its word count, and units that no template can match are dropped before bigrams are formed. Templates of LONG_WORDS
+words or more are also looked for inside longer texts, wrapped or not: in windows of their length, an eighth of it apart, of texts that hold
+one of the words that every match must have.
 
-Defined results: null and wordless texts give no row; every unit gives its best template at or above ``least`` (ties: the
-first by name); rows that repeat give their rows again; an empty table gives no row; other columns are not read.
+Defined results: null and wordless texts give no row; every line and whole text gives its best template at or
+above ``least`` (ties: the first by name), every long template its best window (ties: the first); rows that repeat give their rows again; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.75
+#: Templates of so many words are looked for inside texts, in windows of their length that start that part of it apart.
+LONG_WORDS, STEPS = 30, 8
 
 # Wording of public licence notices and short licences.
 TEMPLATES = {
@@ -26,6 +30,9 @@ TEMPLATES = {
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "BSD-2-Clause": "Released under the BSD 2-Clause License.",
     "BSD-3-Clause": "Released under the BSD 3-Clause License.",
+    "BSD-2-Clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
@@ -66,6 +73,48 @@ def _templates(least: float) -> list[tuple[str, list[str], int, int]]:
     return out
 
 
+def long_templates(least: float) -> list[tuple[str, list[str], int, int]]:
+    """(name, bigrams, words, step of the windows) of the templates that are looked for inside texts."""
+    worded = [(name, template_words(TEMPLATES[name])) for name in sorted(TEMPLATES)]
+    return [(name, bigram_set(w), len(w), len(w) // STEPS) for name, w in worded if len(w) >= LONG_WORDS]
+
+
+def telling_words(grams: list[str], least: float) -> list[str]:
+    """Words of which every match has one: a match holds at least least / (2 - least) of a template's bigrams, and these
+    words touch more than the others. Long words, rare in other texts, are taken first."""
+    left, chosen = {tuple(g.split(" ")) for g in grams}, []
+    spare = int(len(grams) * (1 - least / (2 - least)) + 1e-9)
+    for word in sorted({w for g in left for w in g}, key=lambda w: (-len(w), w)):
+        if len(grams) - len(left) > spare:
+            break
+        chosen.append(word)
+        left = {g for g in left if word not in g}
+    return chosen
+
+
+def _windows(df: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
+    """The best window of every long template in every longer text; ties: the first."""
+    known = long_templates(least)
+    plain = F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9]+", " ")
+    met = df.select(F.col(doc_id).alias("doc_id"), plain.alias("plain"))
+    some = sorted({w for _, grams, _, _ in known for w in telling_words(grams, least)})
+    met = met.where(" OR ".join(f"contains(plain, '{w}')" for w in some))
+    met = met.select("doc_id", _once(F.struct(F.split(F.trim("plain"), " ").alias("words"))))
+
+    def best(name: str, grams: list[str], m: int, step: int) -> Column:
+        n, wanted = F.size("words"), F.array(*[F.lit(g) for g in grams])
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0)), F.lit(step)), F.array(n - m)))
+
+        def rated(start: Column) -> Column:
+            mine = _distinct_bigrams(F.slice("words", start + 1, F.lit(m)))
+            return F.struct((2.0 * F.size(F.array_intersect(mine, wanted)) / (F.size(mine) + len(grams))).alias("dice"), (-start).alias("order"), F.lit(name).alias("license"))
+
+        return F.when(n > m, F.array_max(F.filter(F.transform(starts, rated), lambda x: x["dice"] >= least)))
+
+    found = met.select("doc_id", F.explode(F.array(*[best(*t) for t in known])).alias("best")).where("best is not null")
+    return found.select("doc_id", F.lit(-2).alias("line"), (-F.col("best.order")).alias("first_word"), F.col("best.license").alias("license"), F.round("best.dice", 9).alias("dice"))
+
+
 def normalised(text: str) -> Column:
     """Lower case; runs of other characters become one space, or one line break if they hold one."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9\n]+", " "), r" ?\n[ \n]*", "\n")
@@ -82,7 +131,8 @@ def _once(value: Column) -> Column:
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """doc_id, line (from 0; -1: the whole text), license and dice of every unit that matches a template."""
+    """doc_id, line (from 0; -1: the whole text; -2: a window), first_word (of a window, else null), license and dice of
+    every unit that matches a template."""
     known = _templates(least)
     # repeated bigrams leave fewer distinct ones, so word counts have no upper bound of their own below that of a text
     fewest = min(low for _, _, low, _ in known)
@@ -105,12 +155,14 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float
     rated = F.array(*[F.struct(score(grams, low, high).alias("dice"), F.lit(-i).alias("order"), F.lit(name).alias("license")) for i, (name, grams, low, high) in enumerate(known)])
     best = F.array_max(F.filter(rated, lambda x: x["dice"] >= least))
     matched = units.select("doc_id", "line", _once(F.struct(best.alias("best")))).where("best is not null")
-    return matched.select("doc_id", "line", F.col("best.license").alias("license"), F.round("best.dice", 9).alias("dice"))
+    units = matched.select("doc_id", "line", F.lit(None).cast("int").alias("first_word"), F.col("best.license").alias("license"), F.round("best.dice", 9).alias("dice"))
+    return units.unionByName(_windows(df, doc_id, text, least))
 
 
 def oracle_sql(least: float = LEAST) -> str:
     """The same rows in SQL, with an inverted index of the templates' bigrams."""
     grams = ", ".join(f"('{name}', '{g}')" for name, gs, _, _ in _templates(least) for g in gs)
+    longer = ", ".join(f"('{name}', {m}, {step})" for name, _, m, step in long_templates(least))
     return f"""
 WITH lines AS (
   SELECT row_number() OVER () AS row, doc_id,
@@ -131,6 +183,20 @@ scores AS (
   FROM grams JOIN templates USING (gram) JOIN sizes USING (license) GROUP BY row, doc_id, line, license, n, m
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY row, line ORDER BY dice DESC, license) AS place FROM scores WHERE dice >= {least}
+), longer(license, m, step) AS (VALUES {longer}),
+plain AS (
+  SELECT row_number() OVER () AS row, doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL
+), spots AS (
+  SELECT row, doc_id, license, m, w, unnest(list_distinct(list_append(range(0, len(w) - m + 1, step), len(w) - m))) AS s FROM plain JOIN longer ON len(w) > m
+), windows AS (
+  SELECT row, doc_id, license, s, list_distinct(list_transform(range(s + 1, s + m), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM spots
+), window_grams AS (SELECT row, doc_id, license, s, len(g) AS n, unnest(g) AS gram FROM windows),
+window_scores AS (
+  SELECT row, doc_id, license, s, 2.0::DOUBLE * count(*) / (n + sizes.m) AS dice
+  FROM window_grams JOIN templates USING (license, gram) JOIN sizes USING (license) GROUP BY row, doc_id, license, s, n, sizes.m
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY row, license ORDER BY dice DESC, s) AS place FROM window_scores WHERE dice >= {least}
 )
-SELECT doc_id, line, license, round(dice, 9) AS dice FROM ranked WHERE place = 1
+SELECT doc_id, line, NULL::INTEGER AS first_word, license, round(dice, 9) AS dice FROM ranked WHERE place = 1
+UNION ALL SELECT doc_id, -2, s::INTEGER, license, round(dice, 9) FROM best WHERE place = 1
 """

@@ -17,7 +17,13 @@ def brute_licenses(text):
         grams = set(L.bigram_set(unit.split()))
         best = max(((2 * len(grams & set(g)) / (len(grams) + len(g)), -k, name) for k, (name, g, _, _) in enumerate(L._templates(L.LEAST))), default=None) if grams else None
         if best and best[0] >= L.LEAST:
-            out.add((i, best[2], round(best[0], 9)))
+            out.add((i, best[2], round(best[0], 9), None))
+    words = L.template_words(text)
+    for name, grams, m, step in L.long_templates(L.LEAST):
+        rated = [(2 * len(set(grams) & mine) / (len(grams) + len(mine)), -s) for s in sorted({*range(0, len(words) - m + 1, step), max(0, len(words) - m)}) for mine in [set(L.bigram_set(words[s : s + m]))]]
+        dice, s = max(rated)
+        if len(words) > m and dice >= L.LEAST:
+            out.add((-2, name, round(dice, 9), -s))
     return out
 
 
@@ -25,11 +31,24 @@ def test_licenses_match_brute_force(documents):
     full = L.TEMPLATES["MIT-text"]
     wrapped = "\n".join(full[i : i + 60] for i in range(0, len(full), 60))
     texts = {1: "Prose.\nReleased under the MIT License.\nMore prose here", 2: wrapped, 3: None, 4: "", 5: "RELEASED!! UNDER!! THE!! MIT!! LICENSE", 6: "word " * 30_000, 7: "released under the mitt license", 8: "All rights reserved.\n\n\n(c)", 9: "mit " * 6, 10: "\n" + L.TEMPLATES["Apache-2.0-header"] + " extra words"}
+    code = "\n".join(f"line {i} of the program does {i * 7} things" for i in range(100))
+    texts |= {11: f"{code}\n{wrapped}\n{code}", 12: f"{code}\n# " + L.TEMPLATES["BSD-3-Clause-text"].replace("; ", ";\n# ") + code, 13: code + " software notice copyright permission", 14: f"{code} {full} {code} {full}"}
     got = {}
     for r in L.scan(documents(*texts.items())).collect():
-        got.setdefault(r.doc_id, set()).add((r.line, r.license, r.dice))
+        got.setdefault(r.doc_id, set()).add((r.line, r.license, r.dice, r.first_word))
     assert got == {i: found for i, t in texts.items() if t and (found := brute_licenses(t))}
-    assert (-1, "MIT-text", 1.0) not in got[1] and any(name == "MIT-text" for _, name, _ in got[2])
+    assert any(name == "MIT-text" for _, name, _, _ in got[2])
+    assert [{name for line, name, _, _ in got.get(i, ()) if line == -2} for i in (11, 12, 13, 14)] == [{"MIT-text"}, {"BSD-2-Clause-text", "BSD-3-Clause-text"}, set(), {"MIT-text"}]
+
+
+def test_every_match_has_a_telling_word():
+    for _, grams, _, _ in L.long_templates(L.LEAST):
+        words = set(L.telling_words(grams, L.LEAST))
+        without = [g for g in grams if not words & {*g.split(" ")}]
+        assert 2 * len(without) < L.LEAST * (len(without) + len(grams))
+
+
+def test_no_licence_in_an_empty_table(documents):
     assert L.scan(documents((1, "x")).limit(0)).count() == 0
 
 
