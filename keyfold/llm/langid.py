@@ -1,7 +1,6 @@
 """Language identification with a byte convolutional network trained in numpy.
 
-Bytes map to 64 classes, classes to an embedding; filters of widths 2, 3 and 4 run over fixed windows of bytes,
-each filter keeps its maximum, and a softmax layer reads the maxima. A document's probabilities are the means over
+All 256 byte values map to an embedding; filters of widths 2, 3 and 4 run over fixed windows of bytes, each filter keeps its maximum, and a softmax layer reads the maxima. A document's probabilities are the means over
 all windows of its whole text, weighted by the bytes in each. For prediction, embedding and filters are folded into
 tables indexed by single classes and pairs of classes, which gives the same sums with fewer steps.
 
@@ -23,29 +22,20 @@ from pyspark.sql import functions as F
 
 from .bytesops import blocks, column
 
-WINDOW, EMBED, FILTERS, WIDTHS, PER_LANGUAGE, EXCERPT, MAX_LANGUAGES, SEED = 256, 8, 16, (2, 3, 4), 1200, 300, 256, 7
+WINDOW, EMBED, FILTERS, WIDTHS, PER_LANGUAGE, MOST_EXCERPTS, EXCERPT, STEPS, SEED = 256, 8, 16, (2, 3, 4), 1200, 1 << 16, 300, 640, 7
 UNDETERMINED = "und"
-CLASSES = 64
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[33:128] = 2  # marks
-_CLASS[:33] = 1  # white space and controls
-_CLASS[ord("0") : ord("9") + 1] = 3
-_CLASS[ord("a") : ord("z") + 1] = np.arange(4, 30)
-_CLASS[ord("A") : ord("Z") + 1] = np.arange(4, 30)
-_CLASS[0x80:0xA0] = _CLASS[0xA0:0xC0] = np.arange(30, 62)  # continuation bytes; Latin capitals lie 32 below
-_CLASS[0xC0:0xC4] = 62  # lead bytes of Latin letters
-_CLASS[0xC4:] = 63
+CLASSES = 256
 
 
 def windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(classes by window, row of each window, bytes in each window); class 0 fills the last window of a row."""
+    """(bytes by window, row of each window, bytes in each window); byte 0 fills the last window of a row."""
     n = -(-np.diff(offs) // WINDOW)
     row = np.repeat(np.arange(len(n)), n)
     start = offs[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
     size = np.minimum(WINDOW, offs[row + 1] - start)
     at = start[:, None] + np.arange(WINDOW)
     inside = np.arange(WINDOW) < size[:, None]
-    return np.where(inside, _CLASS[data[np.minimum(at, max(0, len(data) - 1))]] if len(data) else 0, 0).astype(np.uint8), row, size
+    return np.where(inside, data[np.minimum(at, max(0, len(data) - 1))] if len(data) else 0, 0).astype(np.uint8), row, size
 
 
 class ByteCnn:
@@ -88,13 +78,13 @@ class ByteCnn:
                 np.add.at(g["embed"], x[np.arange(n)[:, None], best + k], back[:, :, k])
         return g
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.004) -> ByteCnn:
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 0.004) -> ByteCnn:
         rng, t = np.random.default_rng(SEED + 1), 0
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
-        for _ in range(epochs):
+        while t < steps:
             order = rng.permutation(len(x))
-            for lo in range(0, len(x), batch):
+            for lo in range(0, min(len(x), (steps - t) * batch), batch):
                 g, t = self.loss_gradient(x[order[lo : lo + batch]], y[order[lo : lo + batch]]), t + 1
                 for k in self.p:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -103,7 +93,7 @@ class ByteCnn:
         return self
 
     def tables(self) -> list[tuple[list[np.ndarray], np.ndarray]]:
-        """For each width, tables of pairs of classes (and of single classes for an odd rest) whose sum is the filter."""
+        """For each width, tables of pairs of bytes (and of single bytes for an odd rest) whose sum is the filter."""
         out = []
         for w in WIDTHS:
             single = [self.p["embed"] @ self.p[f"w{w}"][k * EMBED : (k + 1) * EMBED] for k in range(w)]
@@ -129,13 +119,14 @@ class ByteCnn:
 
 
 def fit(df: DataFrame, text: str, lang: str, doc_id: str, admitted: Column, per_language: int = PER_LANGUAGE) -> ByteCnn | None:
-    """A network for every language among the admitted rows (the ``MAX_LANGUAGES`` most frequent), or None."""
+    """A network for every language among the admitted rows, or None without any."""
     rows = df.where(admitted & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = {r["k"]: r["n"] for r in rows.groupBy(F.col(lang).alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k").limit(MAX_LANGUAGES).collect()}
+    counts = {r["k"]: r["n"] for r in rows.groupBy(F.col(lang).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     languages = sorted(counts)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 1.2 * per_language / counts[k]))])
+    per_language = max(1, min(per_language, MOST_EXCERPTS // len(languages)))
+    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, (1.2 * per_language + 8) / counts[k]))])
     key = F.xxhash64(F.col(doc_id).cast("string"), F.lit(SEED))
     u = F.pmod(key, F.lit(1 << 20)) / F.lit(float(1 << 20))
     place = F.pmod(F.shiftright(key, 20), F.greatest(F.length(text) - EXCERPT, F.lit(0)) + 1).cast("int") + 1
@@ -150,7 +141,7 @@ def fit(df: DataFrame, text: str, lang: str, doc_id: str, admitted: Column, per_
         return None
     offs = np.cumsum([0, *map(len, texts)])
     x, row, _ = windows(np.frombuffer(b"".join(texts), np.uint8), offs)
-    return ByteCnn(languages).train(x, y[row], epochs=8 if len(x) > 1500 else 30)
+    return ByteCnn(languages).train(x, y[row])
 
 
 _ASCII_LETTER = np.zeros(256, bool)
