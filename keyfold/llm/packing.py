@@ -6,8 +6,9 @@ constraint and leaves the smallest weighted residual norm (or has the largest we
 residual); where none does, a new sequence opens. Groups are dealt by a hash of row positions, of some thousands of pieces
 each, so they pack independently in bounded memory and lose at most part of one sequence each.
 
-Tokenising: white space always ends a token of this vocabulary, so a text's ids are the ids of its words in order;
-a worker keeps the ids of words it has met (bounded) and encodes only new ones.
+Tokenising: where a tokenizer's file says that it lower-cases and drops white space (``by_words``), a text's ids are the
+ids of its words in order; a worker keeps the ids of words it has met (bounded) and encodes only new ones. Other
+tokenizers read whole texts.
 
 Defined results: a null text is an empty text and still gives one piece holding the end id; a document longer than
 the limit is cut into full pieces and a rest; rows that repeat are packed each; an empty table gives no piece.
@@ -15,20 +16,22 @@ the limit is cut into full pieces and a rest; rows that repeat are packed each;
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import blocks, column, prefix_hash, span_hash, words
 from .scratch import Scratch
 
-MAX_TOKENS, END_ID, PIECES_PER_GROUP, CACHED_WORDS = 4096, 1, 8192, 1 << 20
+MAX_TOKENS, END_ID, PIECES_PER_GROUP, CACHED_WORDS = 4096, 1, 8192, 1 << 17
 _TAIL = ".,;:!?*#$%&"
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
 class WordEncoder:
@@ -63,7 +66,7 @@ class WordEncoder:
         raw = data.tobytes()
         hashes = span_hash(prefix_hash(data, lower=b"<|" not in raw), starts, ends)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHED_WORDS:
+        if len(self.keys) > CACHED_WORDS or len(self.parts) > CACHED_WORDS:
             self.reset()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
@@ -86,9 +89,44 @@ class WordEncoder:
         return self.ids[take], np.bincount(row, weights=count, minlength=len(offs) - 1).astype(np.int64)
 
 
-def encoder(path: str) -> WordEncoder:
+class TextEncoder:
+    """Token ids of whole texts, for any tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        ids = [np.array(code.ids, np.uint32) for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer's file says that ids of a text are those of its lower-cased words: it lower-cases, keeps only
+    what a pattern matches that never matches white space, and has no added token with white space in it."""
+    with open(path, encoding="utf-8") as file:
+        known = json.load(file)
+    normal, before = known.get("normalizer") or {}, known.get("pre_tokenizer") or {}
+    steps, splits = (x.get(many) or [x] for x, many in ((normal, "normalizers"), (before, "pretokenizers")))
+    first, allowed = splits[0], {"NFC", "NFKC", "Replace", "Lowercase"}
+    if not any(s.get("type") == "Lowercase" for s in steps) or any(s.get("type") not in allowed for s in steps):
+        return False
+    if any(s["type"] == "Replace" and (s["pattern"].get("Regex"), s["content"]) != (r"\s+", " ") for s in steps):
+        return False
+    pattern = (first.get("pattern") or {}).get("Regex")
+    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or not pattern:
+        return False
+    spaces = " \t\n\v\f\r"
+    if regex.findall(pattern, "ab" + _TAIL) != ["ab", _TAIL]:
+        return False
+    return not regex.search(pattern, spaces) and not any(c in t["content"] for t in known.get("added_tokens", []) for c in spaces)
+
+
+def encoder(path: str) -> WordEncoder | TextEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = (WordEncoder if by_words(path) else TextEncoder)(path)
     return _encoders[path]
 
 
