@@ -2,10 +2,10 @@
 
 Equal vectors of one label form a class with a weight; classes are what the trees hold. Groups of one label and
 dimension that are larger than ``GROUP`` classes are first split by tops of trees fitted on a bounded sample
-(``SAMPLE`` vectors in all); every class is then routed through them. What arrives in one part is split on in numpy:
+(``SAMPLE`` vectors or 32 for each GROUP of classes, never more than ``SAMPLE_BYTES``); every class is then routed through them. What arrives in one part is split on in numpy:
 random direction, median of the projections, and classes whose projection lies within ``SPILL`` quantiles of the
-median go to both sides, until a leaf has at most ``LEAF`` classes. Leaves compare all their members in double precision and give
-links that become components by star contraction.
+median go to both sides, until a leaf has at most ``LEAF`` classes. Leaves compare all their members in double precision (or see
+from their centre that any two link) and give links that become components by star contraction.
 
 The forest only has to connect a component; its links are then counted exactly, every member against every other, so groups of
 any density lose none. Components of at most ``TILE`` classes are compared whole. Larger ones are dealt into tiles with a centre and
@@ -31,7 +31,7 @@ from .bytesops import mix64
 from .graph import components
 from .scratch import Scratch
 
-LEAST, TREES, LEAF, SPILL, GROUP, SAMPLE = 0.93, 10, 256, 0.06, 20_000, 20_000
+LEAST, TREES, LEAF, SPILL, GROUP, SAMPLE, SAMPLE_BYTES = 0.93, 10, 256, 0.06, 20_000, 20_000, 64 << 20
 TILE, TILES, TILE_VALUES = 2048, 16, 4_000_000
 
 
@@ -118,31 +118,35 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _grow(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Leaves of one part of one tree; the key of the part, tree and label makes them distinct."""
-    reps, x = table.column("rep").to_numpy(), _matrix(table)
-    seed = int.from_bytes(hashlib.sha256(repr([k.as_py() for k in key]).encode()).digest()[:8], "big")
-    order = np.argsort(reps, kind="stable")
-    reps, x = reps[order], x[order]
-    found = leaves(x, seed, LEAF)
-    name = np.concatenate([np.full(len(rows), k, np.uint64) for k, rows in found]).view(np.int64)
-    return pa.table({"rep": reps[np.concatenate([rows for _, rows in found])], "leaf": name})
-
-
-def _compare(least: float):
+def _joined(x: np.ndarray, least: float) -> np.ndarray:
+    """For each row of ``x`` the smallest row that links reach among them."""
+    centre = x.mean(0)
+    size = np.sqrt(centre @ centre)
+    if size > 0 and np.arccos(np.clip((x @ centre).min() / size, -1, 1)) <= np.arccos(least) / 2 - 1e-6:
+        return np.zeros(len(x), np.int64)  # so close to their centre that any two of them link
+    label, step = np.arange(len(x)), 1024
+    while True:
+        best = label.copy()
+        for lo in range(0, len(x), step):
+            linked = x[lo : lo + step] @ x.T >= least
+            best[lo : lo + step] = np.minimum(label[lo : lo + step], np.where(linked, label[None], len(x)).min(1))
+        best = best[best]
+        if (best == label).all():
+            return label
+        label = best
+
+
+def _grow(least: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Links (rep, hub) found in the leaves of one part of one tree."""
         reps, x = table.column("rep").to_numpy(), _matrix(table)
-        label, step = np.arange(len(reps)), 1024
-        while True:  # smallest member that links reach, within this leaf
-            best = label.copy()
-            for lo in range(0, len(reps), step):
-                linked = x[lo : lo + step] @ x.T >= least
-                best[lo : lo + step] = np.minimum(label[lo : lo + step], np.where(linked, label[None], len(reps)).min(1))
-            best = best[best]
-            if (best == label).all():
-                break
-            label = best
-        return pa.table({"rep": reps, "hub": reps[label]})
+        seed = int.from_bytes(hashlib.sha256(repr([k.as_py() for k in key]).encode()).digest()[:8], "big")
+        order = np.argsort(reps, kind="stable")
+        reps, x = reps[order], x[order]
+        found = [(reps[rows], reps[rows][_joined(x[rows], least)]) for _, rows in leaves(x, seed, LEAF)]
+        rep, hub = (np.concatenate(c) for c in zip(*found, strict=True))
+        pairs = np.unique(np.stack([rep, hub], 1)[rep != hub], axis=0)
+        return pa.table({"rep": pairs[:, 0], "hub": pairs[:, 1]})
 
     return run
 
@@ -266,19 +270,19 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     total = large.agg(F.sum("k")).first()[0]
     tops: dict = {}
     if total:
-        share = min(1.0, SAMPLE / total)
+        widest = large.agg(F.max("dim")).first()[0]
+        share = min(1.0, min(max(SAMPLE, 32 * total / GROUP), SAMPLE_BYTES / (8 * widest)) / total)
         picked = classes.join(large.select("label"), "label", "left_semi").where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30)))
         samples: dict = {}
-        for r in picked.select("label", "vector").limit(2 * SAMPLE).collect():
+        for r in picked.select("label", "vector").toLocalIterator():
             v = np.array(r["vector"])
             samples.setdefault((r["label"], len(v)), []).append(v / np.sqrt(v @ v))
         tops = fit_tops({k: np.stack(v) for k, v in samples.items()}, share)
     routed = classes.mapInArrow(_route(tops), "rep long, tree int, part long")
     dim = classes.select("rep", "label", F.size("vector").alias("dim"), "vector")
-    grown = routed.join(dim, "rep").groupBy("tree", "part", "label", "dim").applyInArrow(_grow, "rep long, leaf long")
-    spots = scratch.write(grown.distinct(), "leaves")
-    members = spots.join(classes.select("rep", "vector"), "rep")
-    compared = scratch.write(members.select("leaf", "rep", "vector").groupBy("leaf").applyInArrow(_compare(least), "rep long, hub long").where("rep <> hub").distinct(), "compared")
+    grown = routed.join(dim, "rep").groupBy("tree", "part", "label", "dim").applyInArrow(_grow(least), "rep long, hub long")
+    compared = scratch.write(grown.distinct(), "compared")
+    scratch.release()
     linked = components(compared.select(F.col("rep").alias("u"), F.col("hub").alias("v")), scratch, "links")
     counts = counted(classes, linked, least, scratch)
     about = classes.join(counts, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
