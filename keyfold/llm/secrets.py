@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .forest import Forest
 
-MOST_LABELLED, LEAST_SCORE, SEED = 20_000, 0.5, 20240301
+MOST_LABELLED, LEAST_SCORE, SEED, BLOCK = 20_000, 0.5, 20240301, 256
 KNOWN = r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:ghp_|gho_|sk_live_|sk-|xox[bp]-|AIza|eyJ)[A-Za-z0-9_\-]{16,})"
 # a known prefix ends a long token before it, save after a letter or digit, where short prefixes occur by chance
 LONG = rf"(?:(?!(?<![A-Za-z0-9]){KNOWN})[A-Za-z0-9+/_.\-]){{20,}}+={{0,2}}"
@@ -46,22 +46,22 @@ def candidates(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """Columns ``keep`` (as k0, k1, …), start, value, before and after of every candidate."""
     found = df.where(F.col(text).rlike(CANDIDATE)).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.col(text).alias("kf_text"))
     cut = found.select(*[f"k{i}" for i in range(len(keep))], F.inline(F.array(F.struct(F.regexp_extract_all("kf_text", F.lit(f"({CANDIDATE})"), F.lit(1)).alias("hits"), F.split("kf_text", CANDIDATE, -1).alias("gaps")))))
-    zipped = F.transform(
-        "hits",
-        lambda hit, i: F.struct(
-            hit.alias("value"),
-            F.right(F.element_at("gaps", i + 1), F.lit(48)).alias("before"),
-            F.left(F.element_at("gaps", i + 2), F.lit(24)).alias("after"),
-            (F.length(F.element_at("gaps", i + 1)) + F.when(i > 0, F.length(F.element_at("hits", F.greatest(i, F.lit(1))))).otherwise(0)).alias("step"),
-        ),
-    )
-    placed = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string,before:string,after:string>>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["step"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["step"]).alias("start"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after")))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return cut.select(*[f"k{i}" for i in range(len(keep))], F.inline(placed))
+    names = [f"k{i}" for i in range(len(keep))]
+    step = F.transform("hits", lambda hit, i: F.length(F.element_at("gaps", i + 1)) + F.when(i > 0, F.length(F.element_at("hits", F.greatest(i, F.lit(1))))).otherwise(0))
+    # starts are running sums of steps: of whole runs of BLOCK first, so that no text takes the square of its candidates
+    summed = lambda array, first, n: F.aggregate(F.slice(array, first, n), F.lit(0), lambda a, x: a + x)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("steps") - 1) / BLOCK).cast("int")), lambda b: summed("steps", b * BLOCK + 1, F.lit(BLOCK)))
+    stepped = cut.where(F.size("hits") > 0).select(*names, "hits", "gaps", F.inline(F.array(F.struct(step.alias("steps")))))
+    stepped = stepped.select("*", F.inline(F.array(F.struct(blocks.alias("blocks")))))
+    stepped = stepped.select("*", F.inline(F.array(F.struct(F.transform("blocks", lambda _, b: summed("blocks", F.lit(1), b)).alias("bases")))))
+
+    def placed(hit: Column, i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        start = F.element_at("bases", block + 1) + summed("steps", block * BLOCK + 1, i % BLOCK + 1)
+        before, after = F.right(F.element_at("gaps", i + 1), F.lit(48)), F.left(F.element_at("gaps", i + 2), F.lit(24))
+        return F.struct(start.alias("start"), hit.alias("value"), before.alias("before"), after.alias("after"))
+
+    return stepped.select(*names, F.inline(F.transform("hits", placed)))
 
 
 def _count(value: Column, pattern: str) -> Column:
