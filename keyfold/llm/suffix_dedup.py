@@ -6,16 +6,17 @@ the leftmost of equal ones, so equal windows have equal leaders at equal places:
 
 1. Leaders of all windows are counted; only leaders that occur twice can lead a repeated window.
 2. Documents that have one are stored, and each run of windows under one such leader is cut out as a segment (the
-   bytes of its windows). Equal segments collapse to one with a count; a count above one repeats all its windows.
+   bytes of its windows). Segments with equal bytes collapse to one with a count; a count above one repeats all its windows.
 3. Shards hold all distinct segments of a leader. Each shard builds a suffix array by Larsson-Sadakane refinement
    (prefix doubling from 8 bytes that resorts unsorted groups only) and Kasai's common prefixes (all segments in step); a
    window with a neighbour that shares LENGTH bytes is repeated.
 4. A leader with more than ``HOT`` distinct segments is spread over several shards. These also give the sorted hashes of
-   their windows, and binary search among the lists of one hash range finds windows that two shards share.
+   their windows in as many hash ranges as there are shards, and binary search among the lists of one range finds
+   windows that two shards share.
 5. The windows found go back to all members of their segments and each stored document drops their union.
 
 Blocks, shards and lists have bounded sizes; a text longer than a block is worked on in overlapping parts. Leaders and windows are
-compared by 64-bit hashes (segments by 128), neighbours in suffix arrays by their bytes.
+compared by 64-bit hashes, segments and neighbours in suffix arrays by their bytes.
 
 Defined results: a null text is an empty text; texts shorter than LENGTH keep all bytes; rows that repeat are documents of their own,
 so their texts of LENGTH bytes or more go entirely; a null id is an id like others; an empty table gives an empty result; other columns are
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .bytesops import BLOCK_BYTES, blocks, column, prefix_hash, span_hash
 from .scratch import Scratch
 
-LENGTH, GRAM, HOT, SHARD_BYTES, HASH_RANGES = 400, 64, 2000, 2 << 20, 16
+LENGTH, GRAM, HOT, SHARD_BYTES, MOST_RANGES = 400, 64, 2000, 2 << 20, 1 << 12
 
 
 def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
@@ -229,12 +230,14 @@ def _window_hashes(segment: bytes, length: int) -> np.ndarray:
 
 def _shard_lists(length: int):
     def run(table: pa.Table) -> pa.Table:
-        """Sorted hashes of a hot shard's windows, one list per range of hashes."""
+        """Sorted hashes of a hot shard's windows, one list per range of hashes; as many ranges as the leader has shards."""
         every = np.unique(np.concatenate([_window_hashes(s, length) for s in table.column("segment").to_pylist()]))
-        cuts = np.searchsorted(every >> np.uint64(60), np.arange(HASH_RANGES + 1))
+        ranges = min(MOST_RANGES, table.column("parts")[0].as_py())
+        edges = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+        cuts = np.append(np.searchsorted(every, edges), len(every))
         fp, part = table.column("fp")[0].as_py(), table.column("part")[0].as_py()
         lists = [every[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table({"fp": pa.array([fp] * HASH_RANGES, pa.int64()), "part": pa.array([part] * HASH_RANGES, pa.int64()), "span": pa.array(range(HASH_RANGES), pa.int32()), "hashes": pa.array(lists, pa.binary())})
+        return pa.table({"fp": pa.array([fp] * ranges, pa.int64()), "part": pa.array([part] * ranges, pa.int64()), "span": pa.array(range(ranges), pa.int32()), "hashes": pa.array(lists, pa.binary())})
 
     return run
 
@@ -302,18 +305,18 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     held = docs.join(renamed, docs["doc_id"].eqNullSafe(renamed["kf_id"])).drop("kf_id").withColumn("uid", F.monotonically_increasing_id())
     held = scratch.write(held, "held")
     segments = scratch.write(held.select("uid", "text", "fps").mapInArrow(_segments(length, gram), "uid long, fp long, s0 long, h1 long, h2 long, segment binary"), "segments")
-    distinct = segments.groupBy("fp", "h1", "h2").agg(F.count(F.lit(1)).alias("k"), F.max("segment").alias("segment"))
+    distinct = segments.groupBy("fp", "h1", "h2", "segment").agg(F.count(F.lit(1)).alias("k"))  # equal in their bytes
     distinct = scratch.write(distinct, "distinct")
     sizes = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.max("k").alias("k"), F.sum(F.length("segment")).alias("bytes")).where("kinds > 1 or k > 1")
     sizes = scratch.write(sizes, "sizes")
     shards = max(1, -(-int(sizes.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
-    dealt = distinct.join(sizes.drop("k", "bytes"), "fp").withColumn("part", F.pmod("h1", F.ceil(F.col("kinds") / HOT)))
+    dealt = distinct.join(sizes.drop("k", "bytes"), "fp").withColumn("parts", F.ceil(F.col("kinds") / HOT)).withColumn("part", F.pmod("h1", "parts"))
     alone = dealt.where("kinds = 1").select("fp", "h1", "h2", F.array(F.lit(0)).alias("lo"), F.array(F.length("segment") - length).alias("hi"))
     usual = dealt.where(F.col("kinds").between(2, HOT)).withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards)))
     found = usual.select("shard", "fp", "h1", "h2", "k", "segment").groupBy("shard").applyInArrow(_search_shard(length), _FOUND)
-    hot = scratch.write(dealt.where(F.col("kinds") > HOT).select("fp", "part", "h1", "h2", "k", "segment"), "hot")
+    hot = scratch.write(dealt.where(F.col("kinds") > HOT).select("fp", "part", "parts", "h1", "h2", "k", "segment"), "hot")
     found = found.unionByName(hot.groupBy("fp", "part").applyInArrow(_search_shard(length), _FOUND))
-    merged = hot.select("fp", "part", "segment").groupBy("fp", "part").applyInArrow(_shard_lists(length), "fp long, part long, span int, hashes binary")
+    merged = hot.select("fp", "part", "parts", "segment").groupBy("fp", "part").applyInArrow(_shard_lists(length), "fp long, part long, span int, hashes binary")
     shared = merged.groupBy("fp", "span").applyInArrow(_merge_lists, "fp long, part long, shared binary")
     across = hot.groupBy("fp", "part").cogroup(shared.groupBy("fp", "part")).applyInArrow(_apply_shared(length), _FOUND)
     found = scratch.write(found.unionByName(across).unionByName(alone), "found")
