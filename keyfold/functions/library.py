@@ -35,6 +35,12 @@ def _split(text: Column, separator: Column) -> Column:
     return F.when(separator == "", F.filter(F.split(text, F.lit("")), lambda c: c != "")).otherwise(F.split(text, F.concat(F.lit("\\Q"), separator, F.lit("\\E")), -1))
 
 
+def _range(start: Column, stop: Column, step: Column) -> Column:
+    """From start in steps up to, without, stop; a negative step goes down, a step of 0 nowhere."""
+    some = ((step > 0) & (start < stop)) | ((step < 0) & (start > stop))
+    return F.when(some, F.sequence(start, stop - F.when(step > 0, 1).otherwise(-1), step)).otherwise(F.array().cast("array<int>"))
+
+
 def _truth(x: Column) -> Column:
     return F.coalesce(x.cast("boolean"), F.lit(False))
 
@@ -63,11 +69,12 @@ FUNCTIONS = {
             "ceil": F.ceil,
             "abs": F.abs,
             "int2Char": lambda x: F.char(x),
-            "range": lambda a, b, step: F.when(a < b, F.sequence(a, b - 1, step)).otherwise(F.array().cast("array<int>")),
+            "range": _range,
             "slice": lambda n, xs: F.slice(xs, n + 1, F.greatest(F.size(xs) - n, F.lit(0))),
-            "join": lambda separator, xs: F.array_join(F.transform(xs, lambda x: x.cast("string")), ","),
+            "join": lambda separator, xs: F.call_function("array_join", F.transform(xs, lambda x: x.cast("string")), separator.cast("string")),
+            "sort": F.sort_array,
             "values": F.map_values,
-            "jsonNumber": lambda text, field: F.try_variant_get(F.try_parse_json(text), "$.k", "long"),
+            "jsonNumber": lambda text, field: F.call_function("get_json_object", text, F.concat(F.lit("$['"), field, F.lit("']"))).try_cast("long"),
         }.items()
     }
 }

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scalars import is_number, number
+from .scalars import is_number, is_plain, is_time, number
 
 #: What a reducer gives for no value at all; reducers that are not here give undefined. ``maybe`` variants always do.
 EMPTY = {"sum": 0, "product": 1, "count": 0, "min": float("inf"), "max": float("-inf"), "all": True, "array": (), "mkset": {}}
@@ -23,7 +23,7 @@ def reduce(op: str, x: Column, kind: T.DataType, order: list[str], maybe: bool)
     """The aggregate; ``order`` names the columns that order rows, used only by reducers that depend on it."""
     place = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
     if op == "sum":
-        total = F.sum(_finite(x, kind))
+        total = F.try_sum(_finite(x, kind))
         return total if maybe else F.coalesce(total, F.lit(0))
     if op == "product":
         total = F.product(number(x, kind))
@@ -34,7 +34,7 @@ def reduce(op: str, x: Column, kind: T.DataType, order: list[str], maybe: bool)
         best = (F.min if op == "min" else F.max)(x)
         return F.coalesce(best, F.lit(EMPTY[op])) if is_number(kind) and not maybe and isinstance(kind, T.DoubleType | T.FloatType) else best
     if op in ("single", "print"):
-        return F.max(x) if is_number(kind) else F.any_value(x, True)
+        return F.max(x) if is_plain(kind) or is_time(kind) else F.any_value(x, True)  # the greatest, where values differ
     if op in ("first", "any"):
         return F.min_by(x, F.when(x.isNotNull(), place))
     if op == "last":
@@ -52,6 +52,32 @@ def reduce(op: str, x: Column, kind: T.DataType, order: list[str], maybe: bool)
     raise NameError(f"no reducer {op!r}")
 
 
+def running(op: str, x: Column, kind: T.DataType, window: WindowSpec) -> Column:
+    """The reducer over the rows of a window up to the current one."""
+    if op in ("first", "any"):
+        return F.first(x, True).over(window)
+    if op == "last":
+        return F.last(x, True).over(window)
+    if op == "all":
+        return F.when(F.count(F.lit(1)).over(window) == F.count(x).over(window), F.lit(True))
+    if op == "array":
+        return F.collect_list(x).over(window)
+    if op == "mkset":
+        keys = F.array_sort(F.collect_set(x).over(window))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.lit(True)))
+    return (F.count(x) if op == "count" else reduce(op, x, kind, [], True)).over(window)
+
+
+def alone(op: str, x: Column, kind: T.DataType, maybe: bool) -> Column:
+    """What ``reduce`` gives for a group of one row."""
+    if op in ("min", "max") and isinstance(kind, T.DoubleType | T.FloatType) and not maybe:
+        return F.coalesce(x, F.lit(EMPTY[op]))
+    one = only(op, x, kind, maybe)
+    if op == "product":
+        return one.cast("double")
+    return one.cast("long") if op == "sum" and isinstance(kind, T.IntegralType) else one
+
+
 def only(op: str, x: Column, kind: T.DataType, maybe: bool) -> Column:
     """A reducer over exactly one value."""
     if op == "count":

@@ -1,4 +1,5 @@
-"""Scalar operators as Columns: undefined is NULL, comparisons give true or NULL, and no input raises."""
+"""Scalar operators as Columns: undefined is NULL, comparisons give true or NULL, and no input raises; a whole number
+that does not fit its type is undefined."""
 
 from __future__ import annotations
 
@@ -26,6 +27,8 @@ def number(x: Column, kind: T.DataType) -> Column:
     """A number as it is; anything else as the double it spells, or undefined."""
     if isinstance(kind, T.VariantType):
         return F.try_variant_get(x, "$", "double")
+    if isinstance(kind, T.MapType | T.ArrayType | T.StructType):
+        return F.lit(None).cast("double")
     return x if is_number(kind) else x.cast("int").cast("double") if isinstance(kind, T.BooleanType) else x.try_cast("double")
 
 
@@ -63,11 +66,11 @@ def arithmetic(op: str, a: Column, ka: T.DataType, b: Column, kb: T.DataType) ->
         return F.concat(text(a, ka), text(b, kb))
     a, b = number(a, ka), number(b, kb)
     if op == "plus":
-        return a + b
+        return F.try_add(a, b)
     if op == "minus":
-        return a - b
+        return F.try_subtract(a, b)
     if op == "times":
-        return a * b
+        return F.try_multiply(a, b)
     x, y = a.cast("double"), b.cast("double")
     if op == "fdiv":
         endless = F.when(x == 0, F.lit(float("nan"))).when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf")))
