@@ -33,6 +33,8 @@ class Frame:
         self.vars: dict[str, list[str]] = {}
         self.order: dict[str, list[str]] = {}
         self.known: dict[str, Any] = {}
+        #: Columns that no two rows have alike, if any are known: a declared key and what it was joined to by key.
+        self.unique: list[str] | None = None
 
     def rows(self, spark: SparkSession) -> DataFrame:
         if self.df is None:
@@ -114,10 +116,6 @@ class Lowering:
                 waiting.remove(g)
         return frame
 
-    def entries(self, frame: Frame, g: Node) -> tuple[DataFrame | None, Any]:
-        base = self.eval(g.args[0], frame)
-        return base
-
     def union_of(self, frame: Frame, v: str, mine: list[Node]) -> None:
         """The keys of a variable that only optional collections have: those of any of them."""
         start, parts = (frame.df, dict(frame.vars), dict(frame.order), dict(frame.known)), []
@@ -143,6 +141,7 @@ class Lowering:
             on = [F.col(f"`{c}`") == F.col(f"`{n}`") for c, n in other.items()]
             frame.df = frame.df.join(keys, on, "inner").drop(*other.values())
         frame.vars[v] = frame.order[v] = names
+        frame.unique = None
 
     def optionally(self, frame: Frame, g: Node) -> None:
         base = self.eval(g.args[0], frame)
@@ -173,14 +172,17 @@ class Lowering:
             frame.known[g.sign()] = Col(F.lit(True))
             return
         base = self.lazy(source, frame)
-        if isinstance(base, Tab):
+        if isinstance(base, Tab) and not v.startswith("**"):
             relation = base.relation.renamed(self.kinds)
             on = [a == b for w, cs in base.bind.items() if w in relation.free for a, b in zip(cs, columns(relation.free[w]), strict=True)]
             if v in frame.vars:
                 on += self.equal_keys(frame, columns(frame.vars[v]), relation.df, relation.key)
+            by_key = v in frame.vars and all(w in base.bind for w in relation.free)
             if frame.df is None:
                 frame.df = relation.df
+                frame.unique = None if relation.free else relation.key
             else:
+                frame.unique = frame.unique if by_key else None
                 frame.df = frame.df.join(relation.df, on, "inner") if on else frame.df.crossJoin(relation.df)
             if v not in frame.vars:
                 frame.vars[v], frame.order[v] = relation.key, relation.order or relation.key
@@ -214,6 +216,7 @@ class Lowering:
             frame.known[g.sign()] = named(name)
             return
         place, item, key = fresh("place"), fresh("v"), fresh(v)
+        frame.unique = None
         if isinstance(kind, T.MapType):
             entry = fresh("entry")
             frame.df = frame.df.select("*", F.posexplode(F.map_entries(column)).alias(place, entry))
@@ -233,6 +236,7 @@ class Lowering:
         v = g.args[1].op
         whole = column if isinstance(kind, T.VariantType) else column.cast("variant") if scalars.is_plain(kind) else F.parse_json(F.to_json(column))
         place, entry, item = fresh("place"), fresh("entry"), fresh("v")
+        frame.unique = None
         frame.df = frame.df.select("*", F.posexplode(library.tree_paths(F.to_json(whole))).alias(place, entry))
         path = F.col(f"`{entry}`.path")
         if v in frame.vars:
@@ -251,10 +255,36 @@ class Lowering:
     def without_conditions(self, frame: Frame, n: Node) -> Node:
         """``c & x`` as a key: keeps rows with c and gives x, so that filters stand in the open."""
         while n.kind == "pure" and n.op == "and":
-            frame.where(self.defined(n.args[0], frame))
+            self.restrict(frame, n.args[0])
             n = n.args[1]
         return n
 
+    def restrict(self, frame: Frame, n: Node) -> None:
+        """Keeps rows for which a condition holds; a lookup that must find nothing is an anti join."""
+        if n.kind == "pure" and n.op in ("and", "andAlso"):
+            for part in n.args:
+                self.restrict(frame, part)
+        elif not (n.kind == "pure" and n.op == "isUndef" and self.without_partner(frame, n.args[0])):
+            frame.where(self.defined(n, frame))
+
+    def without_partner(self, frame: Frame, n: Node) -> bool:
+        """Drops the rows whose lookup finds something; False where the term is no lookup in a relation or is joined already."""
+        if n.kind != "get" or n.args[0].kind == "input" or n.args[1].kind in ("const", "var") or n.sign() in frame.known:
+            return False
+        base = self.eval(n.args[0], frame)
+        if not isinstance(base, Tab) or base.present is not None:
+            return False
+        frame.rows(self.spark)
+        key = n.args[1].args if n.args[1].kind == "pure" and n.args[1].op in ("combine", "vars") else n.args[1:]
+        cols = [c for p in key for c in (columns(frame.vars[p.op]) if p.kind == "var" else [self.column(p, frame)])]
+        relation = base.relation.renamed(self.kinds)
+        on = [a == b for w, cs in base.bind.items() if w in relation.free for a, b in zip(cs, columns(relation.free[w]), strict=True)]
+        on += self.equal_keys(frame, cols, relation.df, relation.key)
+        there = Frame(relation.df, self.kinds)
+        there.where(self.has_value(there, relation.value))
+        frame.df = frame.df.join(there.df, on, "left_anti")
+        return True
+
     def equal_keys(self, frame: Frame, mine: list[Column], df: DataFrame, names: list[str]) -> list[Column]:
         out = []
         for a, name in zip(mine, names, strict=True):
@@ -409,19 +439,18 @@ class Lowering:
         schema = n.args[1].op if len(n.args) > 1 else None
         if n.args[0].kind == "const":
             return self.source(tables.load(self.spark, n.op, n.args[0].op, schema), str(n.args[0].op))
-        # names that a query computes: a list of files, read one by one and joined back to the rows that name them
+        # names that a query computes: all files in one scan, joined back to the rows that name them
         names = self.domain(n.args[0].free)
         file, listed = fresh("file"), fresh("listed")
         names.add({listed: self.column(n.args[0], names)})
         free = {v: names.vars[v] for v in n.args[0].free}
         rows = names.df.select(*columns([c for cs in free.values() for c in cs]), F.col(f"`{listed}`"))
-        whole = None
-        for r in names.df.select(F.col(f"`{listed}`")).distinct().orderBy(F.col(f"`{listed}`")).collect():
-            part = tables.load(self.spark, n.op, r[0], schema).df.withColumn(file, F.lit(r[0]))
-            whole = part if whole is None else whole.unionByName(part)
-        fields = [c for c in whole.columns if c != file]
-        row = fresh("row")
-        joined = whole.withColumn(row, F.monotonically_increasing_id()).join(rows, F.col(f"`{file}`") == F.col(f"`{listed}`"))
+        paths = [r[0] for r in names.df.select(F.col(f"`{listed}`")).where(F.col(f"`{listed}`").isNotNull()).distinct().collect()]
+        whole = tables.load(self.spark, n.op, sorted(paths), schema).df
+        fields, row, place = whole.columns, fresh("row"), fresh("place")
+        whole = whole.withColumn(place, F.regexp_replace("_metadata.file_path", tables.SCHEME, "/")).withColumn(row, F.monotonically_increasing_id())
+        found = F.broadcast(self.spark.createDataFrame(tables.named_files(whole.inputFiles(), paths), f"`{place}_` string, `{file}` string"))
+        joined = whole.join(found, F.col(f"`{place}`") == F.col(f"`{place}_`")).join(rows, F.col(f"`{file}`") == F.col(f"`{listed}`"))
         return Tab(Relation(joined, free, [row], Rec({c: named(c) for c in fields}), [row]), {v: columns(frame.vars[v]) for v in free})
 
     def eval_get(self, n: Node, frame: Frame) -> Any:
@@ -637,6 +666,7 @@ class Lowering:
         frame = self.domain((*wanted.free, *wanted.bound, *wanted.hidden))
         frame.rows(self.spark)
         keys = [c for v in wanted.free for c in frame.vars[v]]
+        alone = frame.unique is not None and keys and {*frame.unique} <= {*keys}
         fixed = {s: c for s, m in members.items() if (c := self.determined(frame, m)) is not None}
         values = {s: self.eval(m.args[0], frame) for s, m in members.items() if s not in fixed}
         cols = {s: self.as_column(frame, v) for s, v in values.items()}
@@ -644,7 +674,7 @@ class Lowering:
         plain, unique = {}, {}
         for s, m in members.items():
             if s not in fixed:
-                (unique if wanted.hidden and m.op not in reducers.IDEMPOTENT and self.multiplies(wanted) else plain)[s] = m
+                (unique if wanted.hidden and m.op not in reducers.IDEMPOTENT and not alone else plain)[s] = m
         names = {s: fresh(m.op) for s, m in members.items()}
         parts = []
         bound = [c for v in (*wanted.free, *wanted.bound) for c in frame.vars[v]]
@@ -656,6 +686,10 @@ class Lowering:
             if distinct:
                 df = df.select(*columns(list(dict.fromkeys(bound))), *columns([names[s] for s in chosen])).dropDuplicates(list(dict.fromkeys(bound)))
             inner = Frame(df, self.kinds)
+            if alone:  # the free variables are a key: each group is one row
+                ones = [reducers.alone(m.op, F.col(f"`{names[s]}`"), frame.kind(cols[s]), m.mode == "maybe").alias(names[s] + "_r") for s, m in chosen.items()]
+                parts.append((df.select(*columns(keys), *ones), [names[s] + "_r" for s in chosen]))
+                continue
             aggs = [reducers.reduce(m.op, F.col(f"`{names[s]}`"), frame.kind(cols[s]), inner_order, m.mode == "maybe").alias(names[s] + "_r") for s, m in chosen.items()]
             parts.append((inner.df.groupBy(*columns(keys)).agg(*aggs) if aggs else inner.df.select(*columns(keys)).distinct(), [names[s] + "_r" for s in chosen]))
         df = parts[0][0]
@@ -669,13 +703,6 @@ class Lowering:
             self.reduced[s] = Relation(df, free, [], value, [])
         self.busy.discard(wanted.sign())
 
-    def multiplies(self, n: Node) -> bool:
-        """Whether hidden variables repeat rows: not where they are implied one by one (keys of groups over them)."""
-        return any(v not in self.scopes.closure(n.bound) or self.ranges_many(v, n) for v in n.hidden)
-
-    def ranges_many(self, v: str, n: Node) -> bool:
-        return True
-
     def determined(self, frame: Frame, m: Node) -> str | None:
         """The key column that a ``single`` of the key's own term would give."""
         if m.op not in ("single", "any", "first", "last"):
@@ -698,8 +725,7 @@ class Lowering:
         item, run = fresh("x"), fresh(n.op)
         df = frame.df.select(*columns(list(dict.fromkeys([*keys, *order]))), x.alias(item))
         window = Window.partitionBy(*columns(keys)).orderBy(*columns(order)).rowsBetween(Window.unboundedPreceding, 0)
-        aggregate = reducers.reduce(n.op, F.col(f"`{item}`"), frame.kind(x), order, True)
-        df = df.withColumn(run, aggregate.over(window) if n.op not in ("count",) else F.count(F.col(f"`{item}`")).over(window))
+        df = df.withColumn(run, reducers.running(n.op, F.col(f"`{item}`"), frame.kind(x), window))
         out = df.groupBy(*columns(keys)).agg(reducers.reduce("array", F.col(f"`{run}`"), df.schema[run].dataType, order, False).alias(run + "_r"))
         return Relation(out, {v: frame.vars[v] for v in n.free}, [], named(run + "_r"), [])
 
@@ -710,7 +736,8 @@ class Lowering:
             frame = self.domain((*n.free, *n.bound, *n.hidden))
             frame.rows(self.spark)
             if n.args[0].kind == "pure" and n.args[0].op in ("and", "andAlso"):
-                frame.where(self.defined(n.args[0], frame))
+                self.restrict(frame, n.args[0].args[0])
+                frame.where(self.defined(n.args[0].args[1], frame))
             value = self.stored(frame, self.eval(n.args[0], frame))
             frame.where(self.has_value(frame, value))
             order = frame.order_of([v for v in frame.vars if v not in n.free])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import urllib.parse
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -127,3 +129,20 @@ def load(spark: SparkSession, form: str, path: str | list[str], schema: str | T.
     else:
         raise ValueError(f"no source {form!r}")
     return Table(df)
+
+
+#: What stands before the path in a file's address.
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
+
+
+def named_files(files: list[str], paths: list[str]) -> list[tuple[str, str]]:
+    """(file without its scheme, path) of every file and the path among ``paths`` that named it or a folder above it."""
+    bare = lambda p: re.sub(SCHEME, "/", p).rstrip("/")
+    by, out = {bare(p): p for p in paths}, []
+    for file in files:
+        at = bare(urllib.parse.unquote(file))
+        while at and at not in by:
+            at = at.rpartition("/")[0]
+        if at:
+            out.append((bare(file), by[at]))
+    return out
