@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,11 @@ from pyspark.sql import types as T
 
 from . import api
 from .functions import library
+from .operators.fixpoint import fixpoint
+from .plans.ir import const
+from .sources import sinks
+from .sources.shared import delete, shared_root
+from .sources.tables import Udf
 
 KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
@@ -23,7 +30,7 @@ class Inputs(dict):
     """Tables of a folder, read when a query names them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        super().__init__(library.FUNCTIONS)
+        super().__init__(library.FUNCTIONS | {"own": {"initial": Udf(lambda name: name and name[:1].lower()), "spread": Udf(lambda values: values and float(max(values) - min(values)), "double")}})
         self.spark, self.sf_dir = spark, sf_dir
 
     def __contains__(self, name) -> bool:
@@ -41,14 +48,24 @@ class Query:
     digits: int = 2
     limit: int | None = None
     after: Callable[[DataFrame], DataFrame] | None = None
+    #: Files to write from tables before the query reads them: {hole: (form, table, columns)}.
+    files: dict[str, tuple[str, str, list[str]]] = field(default_factory=dict)
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         from .operators.lower import Lowering
         from .result import Result
 
-        df = Result(Lowering(spark, Inputs(spark, sf_dir), api.query(self.text))).df(self.limit)
+        inputs, holes = Inputs(spark, sf_dir), {}
+        if self.files:
+            folder = f"{shared_root(spark)}/keyfold-files-{uuid.uuid4().hex}"
+            atexit.register(_gone, spark, folder)
+            for name, (form, table, cols) in self.files.items():
+                df = inputs[table].df.selectExpr(*cols)
+                holes[name], holes[name + "_type"] = const(f"{folder}/{name}"), const(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema))
+                _put(df, form, f"{folder}/{name}")
+        df = Result(Lowering(spark, inputs, api.query(self.text, **holes) if holes else api.query(self.text))).df(self.limit)
         df = self.after(df) if self.after else df
-        return df.select(*[F.round(f.name, self.digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema])
+        return df.select(*[(F.round(f.name, self.digits) + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema])
 
 
 ASIA_1996 = "o_orderdate >= date '1996-01-01' AND o_orderdate < date '1997-01-01'"
@@ -56,8 +73,34 @@ ASIA_1996 = "o_orderdate >= date '1996-01-01' AND o_orderdate < date '1997-01-01
 QUERIES: dict[str, Query] = {}
 
 
-def add(name: str, text: str, sql: str | None, digits: int = 2, limit: int | None = None, after=None) -> None:
-    QUERIES[name] = Query(text, sql, digits, limit, after)
+@dataclass
+class Made(Query):
+    """A query that is a function of the inputs rather than text."""
+
+    make: Callable[[Inputs], DataFrame] | None = None
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.make(Inputs(spark, sf_dir))
+
+
+def _put(df: DataFrame, form: str, path: str) -> None:
+    if form == "tbl":
+        sinks.write(df, path, "bars")
+    elif form == "json":  # one document, a list of records
+        df.select(F.to_json(F.struct("*")).alias("x")).groupBy().agg(F.concat(F.lit("["), F.array_join(F.collect_list("x"), ",\n"), F.lit("]"))).write.text(path)
+    else:
+        sinks.write(df, path, "json" if form == "ndjson" else form)
+
+
+def _gone(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # the JVM may have ended before Python
+        pass
+
+
+def add(name: str, text: str, sql: str | None, digits: int = 2, limit: int | None = None, after=None, files=None) -> None:
+    QUERIES[name] = Query(text, sql, digits, limit, after, files or {})
 
 
 # ---- reducers ----
@@ -106,7 +149,7 @@ add("join_scalar_subquery", "let average = {lineitem.*l.l_partkey: (sum lineitem
 add("set_intersect", "let a = {customer.*c.c_acctbal > 9000 & customer.*c.c_nationkey: count customer.*c.c_custkey}; let b = {supplier.*s.s_acctbal > 5000 & supplier.*s.s_nationkey: count supplier.*s.s_suppkey}; {*n: a.*n + b.*n}", "SELECT k AS key, a.n + b.n AS value FROM (SELECT c_nationkey k, count(*) n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a JOIN (SELECT s_nationkey k, count(*) n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b USING (k)")
 add("set_union", "let a = {customer.*c.c_acctbal > 9800 & customer.*c.c_nationkey: count customer.*c.c_custkey}; let b = {supplier.*s.s_acctbal > 5000 & supplier.*s.s_nationkey: count supplier.*s.s_suppkey}; {*n: (a.*n? || b.*n?) & 1}", "SELECT key, 1 AS value FROM (SELECT c_nationkey AS key FROM customer WHERE c_acctbal > 9800 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
 add("set_union_all", "count [nation.*n.n_name, region.*r.r_name].*x", "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS value")
-add("set_except", "let b = {orders.*o.o_totalprice > 1000 & orders.*o.o_custkey: count orders.*o.o_orderkey}; array ((isUndef b.(customer.*c.c_custkey)) & {c: customer.*c.c_custkey})", "SELECT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 1000)")
+add("set_except", "let b = {orders.*o.o_totalprice > 300000 & orders.*o.o_custkey: count orders.*o.o_orderkey}; array ((isUndef b.(customer.*c.c_custkey)) & {c: customer.*c.c_custkey})", "SELECT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 add("distinct", "{part.*p.p_brand: single part.*p.p_brand}", "SELECT DISTINCT p_brand AS key, p_brand AS value FROM part")
 
 # ---- predicates and conditions ----
@@ -132,7 +175,7 @@ add("udf_library", "{part.*p.p_partkey: (udf.sqrt part.*p.p_size) + (udf.abs (0
 add("udtf_split", '{(udf.split "_" nation.*n.n_name).*i: count nation.*n.n_name}', "SELECT unnest(string_split(n_name, '_')) AS key, count(*) AS value FROM nation GROUP BY 1")
 
 # ---- scans, sorts ----
-_RUN = "SELECT list(x ORDER BY e) AS value FROM (SELECT event_id AS e, {} OVER (ORDER BY event_id) AS x FROM events WHERE event_type = 'purchase' AND event_id < 2000)"
+_RUN = "SELECT list(x ORDER BY e) AS value FROM (SELECT event_id AS e, {} OVER (ORDER BY event_id) AS x FROM events WHERE event_type = 'purchase')"
 for _op, _sql in {"sum": "sum(value)", "count": "count(value)", "min": "min(value)", "max": "max(value)"}.items():
     add(f"prefix_{_op}", f'let v = array (events.*e.event_type == "purchase" & events.*e.value); prefix_{_op} v.*i', _RUN.format(_sql).replace("list(x ", "list(round(x, 2) " if _op == "sum" else "list(x "), after=(lambda df: df.select(F.transform("value", lambda x: F.round(x, 2)).alias("value"))) if _op == "sum" else None)
 add("prefix_by_group", "{nation.*n.n_regionkey: prefix_sum nation.*n.n_nationkey}", "SELECT key, list(x ORDER BY n) AS value FROM (SELECT n_regionkey AS key, n_nationkey AS n, sum(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT AS x FROM nation) GROUP BY 1")
@@ -155,6 +198,37 @@ add("column_sum", "{*i: sum (convert_f64 embeddings.*v.embedding.*i)}", "SELECT
 add("matmul", "{*i: {*j: sum ((convert_f64 embeddings.*v.embedding.*i) * (convert_f64 embeddings.*v.embedding.*j))}}", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INTEGER AS i FROM embeddings) SELECT a.i AS key, b.i AS key_1, round(sum(a.x * b.x), 3) AS value FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2", 3)
 add("transpose", "{*i: {*v: embeddings.*v.embedding.*i}}", "SELECT (generate_subscripts(embedding, 1) - 1)::INTEGER AS key, vec_id AS key_1, unnest(embedding) AS value FROM embeddings")
 
+# ---- files written from tables, then read by the query ----
+_ORDERS = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+for _form, _loader in {"csv": "loadCSV", "tbl": "loadTBL", "ndjson": "loadNDJSON"}.items():
+    add(f"load_{_form}", f"{{({_loader} @file @file_type).*r.o_orderstatus: sum ({_loader} @file @file_type).*r.o_totalprice}}", "SELECT o_orderstatus AS key, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1", files={"file": (_form, "orders", _ORDERS)})
+add("load_json", "{(loadJSON @file @file_type).*r.n_regionkey: count (loadJSON @file @file_type).*r.n_name}", "SELECT n_regionkey AS key, count(n_name) AS value FROM nation GROUP BY 1", files={"file": ("json", "nation", ["n_nationkey", "n_name", "n_regionkey"])})
+add("load_parquet", "{(loadParquet @file).*r.c_mktsegment: max (loadParquet @file).*r.c_acctbal}", "SELECT c_mktsegment AS key, round(max(c_acctbal), 2) AS value FROM customer GROUP BY 1", files={"file": ("parquet", "customer", ["c_mktsegment", "c_acctbal"])})
+add("load_named_files", '{region.*r.r_regionkey < 2 & region.*r.r_regionkey: count (loadCSV (ifElse (region.*r.r_regionkey == 0) @low @high) @low_type).*q.k}', "SELECT r_regionkey AS key, CASE WHEN r_regionkey = 0 THEN (SELECT count(*) FROM nation) ELSE (SELECT count(*) FROM supplier) END AS value FROM region WHERE r_regionkey < 2",
+    files={"low": ("csv", "nation", ["n_nationkey AS k"]), "high": ("csv", "supplier", ["CAST(s_suppkey AS int) AS k"])})
+
+# ---- functions, variables, trees ----
+add("fn", "{part.*p.p_partkey: (fn x (x * 2 + 1)) part.*p.p_size}", "SELECT p_partkey AS key, p_size * 2 + 1 AS value FROM part")
+add("diagonal", "let m = {nation.*n.n_regionkey: {nation.*n.n_nationkey: count nation.*n.n_name}}; sum m.*i.*i", "SELECT count(*) AS value FROM nation WHERE n_regionkey = n_nationkey")
+add("singleton", "{region.*r.r_regionkey: count (singleton region.*r.r_name).*k}", "SELECT r_regionkey AS key, 1 AS value FROM region")
+add("filter_by_generator", "{documents.*d.doc_id: labels.*d & documents.*d.lang}", "SELECT doc_id AS key, lang AS value FROM documents SEMI JOIN labels USING (doc_id) WHERE lang IS NOT NULL")
+add("filter_by_factor", "sum ((udf.isGreaterThan lineitem.*l.l_quantity 25) * lineitem.*l.l_quantity)", "SELECT round(sum(l_quantity) FILTER (WHERE l_quantity > 25), 2) AS value FROM lineitem")
+add("udf_scalar", "{own.initial part.*p.p_name: count part.*p.p_partkey}", "SELECT lower(p_name[1]) AS key, count(*) AS value FROM part GROUP BY 1")
+add("udaf_array", "{supplier.*s.s_nationkey: own.spread (array supplier.*s.s_acctbal)}", "SELECT s_nationkey AS key, round(max(s_acctbal) - min(s_acctbal), 2) AS value FROM supplier GROUP BY 1")
+add("udf_range_join", '{part.*p.p_partkey: udf.join "+" (udf.range part.*p.p_size (part.*p.p_size - 4) (0 - 2))}', "SELECT p_partkey AS key, p_size || '+' || (p_size - 2) AS value FROM part")
+add("tree_paths", "let t = {orders.*o.o_orderstatus: {orders.*o.o_orderpriority: sum orders.*o.o_totalprice}}; sum t.**p", "SELECT round(sum(o_totalprice), 2) AS value FROM orders")
+add("update_map", 'count (update {region.*r.r_name: single region.*r.r_regionkey} "another" 9).*k', "SELECT count(*) + 1 AS value FROM region")
+add("group_totals", "{orders.*o.o_orderstatus: {status: single orders.*o.o_orderstatus, total: sum orders.*o.o_totalprice, share: (sum orders.*o.o_totalprice) / (sum orders.*all.o_totalprice), urgent: sum {orders.*o.o_orderpriority == \"1-URGENT\" & orders.*o.o_orderpriority: sum orders.*o.o_totalprice}.*u}}",
+    "SELECT o_orderstatus AS status, round(sum(o_totalprice), 4) AS total, round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 4) AS share, round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT'), 0), 4) AS urgent FROM orders GROUP BY 1", 4)
+
+def _halves(inputs: Inputs) -> DataFrame:
+    """All (a, b) where b is reached from a by halving."""
+    start = inputs["nation"].df.where("n_nationkey > 0").selectExpr("n_nationkey AS a", "n_nationkey div 2 AS b")
+    return fixpoint(start, lambda r: r.unionByName(r.where("b > 0").selectExpr("a", "b div 2 AS b")))
+
+
+QUERIES["fixed_point"] = Made("", "WITH RECURSIVE r(a, b) AS (SELECT n_nationkey, (n_nationkey // 2)::BIGINT FROM nation WHERE n_nationkey > 0 UNION SELECT a, b // 2 FROM r WHERE b > 0) SELECT a, b FROM r", make=_halves)
+
 # ---- TPC-H ----
 _REVENUE = "lineitem.*l.l_extendedprice * (1 - lineitem.*l.l_discount)"
 add("q1", f"""sort ({{l_returnflag: single lineitem.*l.l_returnflag, l_linestatus: single lineitem.*l.l_linestatus, sum_qty: sum lineitem.*l.l_quantity, sum_base_price: sum lineitem.*l.l_extendedprice,
@@ -190,8 +264,8 @@ add("q8", f"""let y = year orders.(lineitem.*l.l_orderkey).o_orderdate
     "SELECT year(o_orderdate)::INTEGER AS o_year, round(coalesce(sum(CASE WHEN n2.n_name = 'NATION_3' THEN l_extendedprice * (1 - l_discount) END), 0) / sum(l_extendedprice * (1 - l_discount)), 6) AS mkt_share FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey AND r_name = 'AMERICA' AND s_nationkey = n2.n_nationkey AND p_type = 'ECONOMY' GROUP BY 1", 6)
 add("q9", f"""let nat = nation.(supplier.(lineitem.*l.l_suppkey).s_nationkey).n_name
   let y = year orders.(lineitem.*l.l_orderkey).o_orderdate
-  {{nation: single nat, o_year: single y, sum_profit: sum ({_REVENUE})}} | group [(like part.(lineitem.*l.l_partkey).p_name "%1%") & nat, y]""",
-    "SELECT n_name AS nation, year(o_orderdate)::INTEGER AS o_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_profit FROM part, supplier, lineitem, orders, nation WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%1%' GROUP BY 1, 2")
+  {{nation: single nat, o_year: single y, sum_profit: sum ({_REVENUE})}} | group [(like part.(lineitem.*l.l_partkey).p_name "%red%") & nat, y]""",
+    "SELECT n_name AS nation, year(o_orderdate)::INTEGER AS o_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_profit FROM part, supplier, lineitem, orders, nation WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%red%' GROUP BY 1, 2")
 add("q10", f"""let o = {{c: single orders.*o.o_custkey}} | group (19961001 <= orders.*o.o_orderdate && orders.*o.o_orderdate < 19970101 & orders.*o.o_orderkey)
   let k = o.(lineitem.*l.l_orderkey).c
   sort ({{c_custkey: single k, c_name: single customer.(k).c_name, revenue: sum ({_REVENUE}), c_acctbal: single customer.(k).c_acctbal, n_name: single nation.(customer.(k).c_nationkey).n_name}}
