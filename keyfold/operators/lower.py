@@ -795,6 +795,11 @@ class Lowering:
         frame.rows(self.spark)
         column, key = self.as_column(frame, base), self.column(n.args[1], frame)
         kind, item = frame.kind(column), self.as_column(frame, value)
+        if isinstance(kind, T.VariantType):
+            inner, name, kind = F.try_variant_get(column, "$", "map<string,variant>"), key.cast("string"), frame.kind(item)
+            new = item if isinstance(kind, T.VariantType) else item.cast("variant") if scalars.is_plain(kind) else F.parse_json(F.to_json(item))
+            put = F.to_variant_object(F.map_concat(F.map_filter(inner, lambda k, _: k != name), F.create_map(name, new)))
+            return Col(F.when(F.schema_of_variant(column).startswith("OBJECT") & item.isNotNull(), put).otherwise(column))
         if isinstance(kind, T.MapType):
             key = key.cast(kind.keyType)
             return Col(F.when(item.isNotNull(), F.map_concat(F.map_filter(column, lambda k, _: k != key), F.create_map(key, item.cast(kind.valueType)))).otherwise(column))

@@ -73,10 +73,26 @@ class Result:
         rows = self._rows(relation)
         if relation.listed:
             return [v for _, _, v in rows]
+        if all(len(key) == 1 and isinstance(key[0], list) for _, key, _ in rows):
+            return self._tree(out, {tuple(key[0]): plain(v) for _, key, v in rows})
         for _, key, v in rows:
             self._put(out, key, v)
         return out
 
+    @staticmethod
+    def _tree(out: dict, at: dict[tuple, Any]) -> Any:
+        """Values by path as one tree: what a path holds stands in what the path above it holds."""
+        for path in sorted(at, key=len):
+            if not path:
+                out = at[path]
+                continue
+            above = out
+            for k in path[:-1]:
+                above = above.setdefault(k, {}) if isinstance(above, dict) else {}
+            if isinstance(above, dict):
+                above[path[-1]] = at[path]
+        return out
+
     @staticmethod
     def _put(out: dict, key: tuple, value: Any) -> None:
         for k in key[:-1]:

@@ -85,6 +85,9 @@ INPUTS = [
     ("array (tree.**P & **P)", {"tree": {"a": {"b": 5, "d": 2}, "c": 1}}, [[], ["a"], ["a", "b"], ["a", "d"], ["c"]]),
     ("sum tree.**P", {"tree": {"a": {"b": 5, "d": 2}, "c": 1}}, 8),
     ('update .cfg "z" 3', {"cfg": {"y": 1}}, {"y": 1, "z": 3}),
+    ("update_inplace .out *WILDCARD (10 + m.*i.*j)", {"out": {}, "m": [[1, 2], [3, 4], [5, 6]]}, {"0": {"0": 11, "1": 12}, "1": {"0": 13, "1": 14}, "2": {"0": 15, "1": 16}}),
+    ("update_inplace .out (vars *j *i) (m.*i.*j - 1)", {"out": {}, "m": [[1, 2], [3, 4], [5, 6]]}, {"0": {"0": 0, "1": 2, "2": 4}, "1": {"0": 1, "1": 3, "2": 5}}),
+    ('{**n: update box.**n "parts" (count box.**n.*p)}', {"box": {"a": 4, "in": {"b": 1, "c": {"d": 2}}}}, {"a": 4, "parts": 2, "in": {"b": 1, "parts": 2, "c": {"d": 2, "parts": 1}}}),
     # the inner variable exists only below the outer one, which must not repeat what does not use it
     ("sum(w.*A) + sum(m.*B.*A)", {"w": {"p": 7, "q": 9, "r": 1}, "m": {"x": {"p": 2, "q": 3}, "y": {"p": 5}}}, 26),
 ]
