@@ -26,16 +26,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import blocks, column, prefix_hash, span_hash, words
+from .bytesops import blocks, column, prefix_hash, span_hash, tidy, words
 from .scratch import Scratch
 
-MAX_TOKENS, END_ID, PIECES_PER_GROUP, CACHED_WORDS = 4096, 1, 8192, 1 << 17
+MAX_TOKENS, END_ID, PIECES_PER_GROUP, CACHED_WORDS, CACHED_PARTS = 4096, 1, 8192, 1 << 19, 1 << 16
 _TAIL = ".,;:!?*#$%&"
 _encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
 class WordEncoder:
-    """Token ids of words by their hashes: sorted keys, and each key's span in one flat array of ids."""
+    """Token ids of words by their hashes: sorted keys, and each key's span in one flat array of ids; some 35 bytes a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,8 +44,8 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.starts, self.counts, self.ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.parts: dict[str, list[int]] = {}
 
     def encode_words(self, found: list[str]) -> list[list[int]]:
@@ -55,6 +55,8 @@ class WordEncoder:
             stem = word.rstrip(_TAIL)
             plain = stem and stem != word and stem[-1].isalpha() and "'" not in word and "<" not in word
             split.append((stem, word[len(stem) :]) if plain else (word,))
+        if len(self.parts) > CACHED_PARTS:
+            self.parts.clear()
         new = list({part for parts in split for part in parts if part not in self.parts})
         for part, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.parts[part] = code.ids
@@ -66,7 +68,7 @@ class WordEncoder:
         raw = data.tobytes()
         hashes = span_hash(prefix_hash(data, lower=b"<|" not in raw), starts, ends)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHED_WORDS or len(self.parts) > CACHED_WORDS:
+        if len(self.keys) > CACHED_WORDS:
             self.reset()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
@@ -74,16 +76,15 @@ class WordEncoder:
         fresh = np.flatnonzero(~known)
         if len(fresh):
             codes = self.encode_words([raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[fresh]])
-            counts = np.fromiter(map(len, codes), np.int64, len(codes))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.slots = np.concatenate([self.slots, len(self.counts) + np.arange(len(codes))])
+            counts = np.fromiter(map(len, codes), np.uint32, len(codes))
+            self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.uint32)])
+            place = at[fresh]  # both sides are sorted
+            self.keys = np.insert(self.keys, place, keys[fresh])
+            self.slots = np.insert(self.slots, place, len(self.counts) + np.arange(len(codes)))
             self.counts = np.concatenate([self.counts, counts])
             self.ids = np.concatenate([self.ids, np.fromiter((i for c in codes for i in c), np.uint32, int(counts.sum()))])
-            self.keys = np.concatenate([self.keys, keys[fresh]])
-            order = np.argsort(self.keys, kind="stable")
-            self.keys, self.slots = self.keys[order], self.slots[order]
         slot = self.slots[np.searchsorted(self.keys, keys)][back]
-        count = self.counts[slot]
+        count = self.counts[slot].astype(np.int64)
         total = np.cumsum(count)
         take = np.repeat(self.starts[slot] - (total - count), count) + np.arange(total[-1] if len(total) else 0)
         return self.ids[take], np.bincount(row, weights=count, minlength=len(offs) - 1).astype(np.int64)
@@ -159,7 +160,7 @@ def token_pieces(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     """Pieces of at most ``limit`` ids: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
     kind = df.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return df.select(doc_id, text).mapInArrow(_pieces(text, doc_id, tokenizer, limit, end_id, with_ids), schema)
+    return df.select(doc_id, text).mapInArrow(tidy(_pieces(text, doc_id, tokenizer, limit, end_id, with_ids)), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
