@@ -254,6 +254,15 @@ def counted(classes: DataFrame, linked: DataFrame, least: float, scratch: Scratc
     return out.groupBy("rep").agg(F.sum("n").alias("n"))
 
 
+def _named(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``classes`` with a number ``rep`` of each that no other has; ids may repeat."""
+    for seed in range(9):
+        named = scratch.write(classes.withColumn("rep", F.xxhash64("label", "vector", F.lit(seed))), f"classes{seed}")
+        if named.groupBy("rep").count().where("count > 1").isEmpty():
+            return named
+    raise RuntimeError("no seed numbers the classes without a clash")
+
+
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = df.sparkSession
@@ -263,8 +272,8 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     norm = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & (norm > 0) & (norm < float("inf"))
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    classes = rows.where("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    classes = scratch.write(classes, "classes")
+    classes = rows.where("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    classes = _named(classes, scratch)
 
     large = classes.groupBy("label", F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP)
     total = large.agg(F.sum("k")).first()[0]
@@ -286,7 +295,9 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     linked = components(compared.select(F.col("rep").alias("u"), F.col("hub").alias("v")), scratch, "links")
     counts = counted(classes, linked, least, scratch)
     about = classes.join(counts, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    about = about.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("found"))
-    sure = rows.where("sound").join(about, ["label", "vector"]).select("vec_id", "n_links", F.col("found").alias("component_id"))
+    about = about.withColumn("found", F.coalesce("component", "rep")).select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "found", "least")
+    about = scratch.write(about, "about")
+    ends = about.groupBy("found").agg(F.min("least").alias("component_id"))
+    sure = rows.where("sound").join(about.join(ends, "found"), ["label", "vector"]).select("vec_id", "n_links", "component_id")
     rest = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return sure.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
