@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, few
 
 LEAST, FILE_BYTES, RANGE_BYTES, GAP_BYTES = 1000, 64 << 20, 4 << 20, 16 << 10
 DATE = "2024-01-01T00:00:00Z"
@@ -102,20 +102,19 @@ def _write(folder: str):
 
 
 def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html and refers_to (null for responses)."""
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    groups = (
-        pages.where(F.octet_length("html") >= least)
-        .groupBy(F.sha2(payload, 256).alias("kf_digest"))
-        .agg(F.max("page_id").alias("kf_response"), F.count(F.lit(1)).alias("kf_n"))
-        .where("kf_n > 1")
-        .select("kf_digest", "kf_response")
-    )
-    alone = F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))  # small pages spread by id
-    key = F.when(F.octet_length("html") >= least, F.sha2(payload, 256)).otherwise(alone)
-    joined = pages.select("page_id", "url", "html", key.alias("kf_key")).join(groups, F.col("kf_key") == F.col("kf_digest"), "left")
-    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("kf_response")), F.col("kf_response"))
-    return joined.select("page_id", "url", "html", refers_to.alias("refers_to"))
+    """page_id, url, html and refers_to (null for responses). Only ids and digests meet by digest, so a popular payload
+    moves no text; pages meet what they refer to by id and digest."""
+    scratch = Scratch(pages.sparkSession, "revisits")
+    digest = F.when(F.octet_length("html") >= least, F.sha2(F.col("html").cast("binary"), 256)).alias("kf_digest")
+    known = scratch.write(pages.select("page_id", digest).where("kf_digest is not null"), "digests")
+    groups = known.groupBy("kf_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    links = known.join(groups, "kf_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    links = links.select(F.col("page_id").alias("kf_page"), F.col("kf_digest").alias("kf_same"), "refers_to")
+    links = scratch.write(links, "links")
+    scratch.drop("digests")
+    scratch.release()
+    on = F.col("page_id").eqNullSafe(F.col("kf_page")) & (F.col("kf_digest") == F.col("kf_same"))
+    return pages.select("page_id", "url", "html", digest).join(few(links), on, "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
