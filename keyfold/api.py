@@ -9,9 +9,9 @@ from pyspark.sql import SparkSession
 from .operators.lower import Lowering
 from .plans import ir
 from .result import Result
-from .sources.tables import ColumnFunction, Table, Udf, load
+from .sources.tables import ColumnFunction, Table, Udf, load, preload
 
-__all__ = ["ColumnFunction", "Compiled", "Pipe", "Table", "Udf", "compile", "load", "op", "pipe", "query", "run"]
+__all__ = ["ColumnFunction", "Compiled", "Pipe", "Table", "Udf", "compile", "load", "op", "pipe", "preload", "query", "run"]
 
 query = ir.query
 

@@ -22,6 +22,8 @@ from ..sources import tables
 from .values import Col, Fun, Rec, Relation, Tab, columns, fresh, named
 
 _COMPARISONS = {"equal", "notEqual", "lessThan", "lessThanOrEqual", "greaterThan", "greaterThanOrEqual"}
+#: Hints that Spark's planner knows; a hint of another name changes nothing.
+_HINTS = {"broadcast", "merge", "shuffle_merge", "shuffle_hash", "shuffle_replicate_nl", "rebalance"}
 _ARITHMETIC = {"plus", "minus", "times", "fdiv", "div", "mod", "concat"}
 
 
@@ -517,7 +519,10 @@ class Lowering:
         if op == "put":
             return self.updated(n, frame)
         if op == "hint":
-            return self.eval(args[-1], frame)
+            value = self.eval(args[-1], frame)
+            if isinstance(args[0].op, str) and args[0].op.lower() in _HINTS and frame.df is not None:
+                frame.df = frame.df.hint(args[0].op)
+            return value
         if op == "apply":
             function = self.eval(args[0], frame)
             if not isinstance(function, Fun):

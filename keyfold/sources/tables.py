@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import re
 import urllib.parse
@@ -9,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,13 +30,21 @@ class Table:
 
 @dataclass
 class Udf:
-    """A Python function of values, run on the executors; ``returns`` is a Spark type."""
+    """A Python function of values, run on the executors; ``returns`` is a Spark type. ``vectorized`` functions get and give
+    pandas Series, a batch at a time. A call with too few or too many arguments is refused when the query is planned."""
 
     function: Callable
     returns: str = "string"
+    vectorized: bool = False
 
     def __call__(self, *args: Column) -> Column:
-        return F.udf(self.function, self.returns)(*args)
+        try:
+            inspect.signature(self.function).bind(*args)
+        except TypeError as error:
+            raise TypeError(f"{getattr(self.function, '__name__', 'function')}: {error}") from None
+        except ValueError:  # built-in functions without a signature
+            pass
+        return (F.pandas_udf if self.vectorized else F.udf)(self.function, self.returns)(*args)
 
 
 @dataclass
@@ -112,6 +122,11 @@ def literal(value: Any) -> Column:
         return F.parse_json(F.lit(json.dumps(value)))
 
 
+def preload(table: Table) -> Table:
+    """The table read once, when first used, and held by the executors (memory, then disk) for all queries over it."""
+    return Table(table.df.persist(StorageLevel.MEMORY_AND_DISK), table.key)
+
+
 def load(spark: SparkSession, form: str, path: str | list[str], schema: str | T.StructType | None = None) -> Table:
     """A file as a table: csv (header line, commas), tbl (| after every field, no header), ndjson, json, parquet."""
     reader = spark.read

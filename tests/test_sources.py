@@ -3,6 +3,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 import keyfold
@@ -63,3 +64,20 @@ def test_command_line():
     root = str(Path(__file__).resolve().parent.parent)
     done = subprocess.run([sys.executable, "-m", "keyfold", "sum stdin.*"], input="[1, 2, 3]", capture_output=True, text=True, cwd=root, timeout=180)
     assert done.stdout.strip() == "6", done.stderr[-500:]
+
+
+def test_vectorised_functions_arity_and_preload(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 5.0)], "id int, v double")
+    udf = {"double": keyfold.Udf(lambda v: v * 2, "double", vectorized=True), "one": keyfold.Udf(lambda v: v, "double")}
+    table = keyfold.preload(keyfold.Table(df, "id"))
+    assert keyfold.run(spark, keyfold.query("sum (udf.double t.*.v)"), t=table, udf=udf).collect() == 14
+    assert keyfold.run(spark, keyfold.query('hint "broadcast" (max t.*.v)'), t=table, udf=udf).collect() == 5
+    assert table.df.storageLevel.useMemory
+    with pytest.raises(TypeError, match="argument"):
+        keyfold.run(spark, keyfold.query("udf.one t.*.v t.*.v"), t=table, udf=udf).collect()
+
+
+def test_json_documents(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps([{"k": "A", "v": 1, "in": {"x": [1, 2]}}, {"k": "B", "v": "wrong"}, {"k": "A", "v": 5, "in": None}]))
+    table = keyfold.load(spark, "json", str(tmp_path / "d.json"), row_type("{k: string, v: i32, in: {x: [i32]}}"))
+    assert keyfold.run(spark, keyfold.query("{t.*.k: {v: sum t.*.v, n: count t.*.in.x.*i}}"), t=table).collect() == {"A": {"v": 6, "n": 2}, "B": {"v": 0, "n": 0}}
