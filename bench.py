@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from keyfold.queries import QUERIES
 
-HEADLINE = ["q1", "q3", "q4", "q5", "q6", "q7", "q8", "q9", "q10", "q11", "q12", "q13", "q14", "q15", "q17", "q18", "q19", "q20", "q22"]
+HEADLINE = [f"q{k}" for k in range(1, 23)]
 HEADLINE += ["json_group_count", "json_count_distinct_by_type", "json_hour_histogram", "json_first_event", "json_activity_span", "group_nested", "join_many_to_many", "column_sum", "dot_product"]
 
 
@@ -26,13 +26,15 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    took = {}
+    took, planned = {}, {}
     for name in names:
         QUERIES[name](spark, sf_dir).collect()  # compiles code and warms the page cache, as the reference's harness does
         began = time.perf_counter()
-        QUERIES[name](spark, sf_dir).collect()
+        query = QUERIES[name](spark, sf_dir)
+        planned[name] = round(time.perf_counter() - began, 3)
+        query.collect()
         took[name] = round(time.perf_counter() - began, 3)
-    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "of it building the plan": planned, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 
 if __name__ == "__main__":
