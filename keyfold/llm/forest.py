@@ -38,7 +38,7 @@ class Forest:
         self.features, self.trees = features, trees
 
     @classmethod
-    def train(cls, features: list[str], x: np.ndarray, y: np.ndarray, trees: int = 15, depth: int = 6, least: int = 4, seed: int = 11) -> Forest:
+    def train(cls, features: list[str], x: np.ndarray, y: np.ndarray, trees: int = 31, depth: int = 7, least: int = 4, seed: int = 11) -> Forest:
         rng, tries = np.random.default_rng(seed), max(1, round(x.shape[1] ** 0.5) + 1)
         grown = []
         for _ in range(trees):

@@ -37,7 +37,7 @@ QUOTED = r"(?<=[\"'])(?<=[=:][ \t]{0,8}[\"'])[^\s\"']{8,}(?=[\"'])"
 CANDIDATE = rf"{KNOWN}|{URL_PASSWORD}|{NAMED}|{LONG}|{QUOTED}"
 # Words that mark credentials, words that mark other values, and common words for dictionary coverage.
 SECRET_WORDS = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer|aws|client[_ -]?id)"
-OTHER_WORDS = r"(?i)(sha1|sha256|md5|digest|commit|checksum|hash|uuid|etag|revision|example|sample|dummy|placeholder|test|changeme|xxxx|http|href|src=|www)"
+OTHER_WORDS = r"(?i)((?<![a-z])(sha1|sha256|md5|digest|commit|checksum|hash|uuid|etag|revision|example|sample|dummy|placeholder|test)(?![a-z])|changeme|xxxx|http|href|src=|www)"
 DICTIONARY = "about access account action after again all and any api app are back base been build but call can case change client code common config content control core data date default demo dev document download error example field file first for from get group guide has have help home html http image index info input insert item key lang last library license line link list local login main make management manager map message model module more name new next node not number object option order other output package page part password path place point post process product program project public query read report request response result return root sample search secret section server service session set setting some source start state status string style system table team test text that the then this time title token tool type update user utils value version video view was web when which will with word work your".split()
 FEATURES = ["size", "changes", "vowel_pairs", "repeats", "digit_share", "upper_share", "hex_only", "covered", "slashes", "file_like", "dashes", "path_before", "secret_word", "other_word", "assigned", "quoted", "known_prefix", "distinct_share"]
 

@@ -1,9 +1,13 @@
 """Forms of secrets that are no long plain tokens."""
 
+from pathlib import Path
+
 import pytest
 
 from keyfold.llm import secrets as S
 
+TABLES = "/root/testdata/sf0.01"
+
 
 @pytest.mark.parametrize(
     "text, value",
@@ -20,3 +24,12 @@ def test_short_marked_and_embedded_secrets_are_candidates(spark, text, value):
     df = spark.createDataFrame([(1, "before " + text + " after")], "doc_id long, text string")
     got = [(r.start, r.value) for r in S.candidates(df, ["doc_id"], "text").collect()]
     assert (("before " + text).index(value), value) in got
+
+
+@pytest.mark.skipif(not Path(TABLES).exists(), reason="no test tables")
+def test_findings_of_the_tables(spark):
+    """Labelled by looking at them: what the tables assign to ``token`` are keys, the other long candidates are invented words."""
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    rows = S.featured(S.candidates(docs, ["doc_id"], "text")).select("value", "before", S.train(spark).column().alias("score")).collect()
+    keys, words = ([r.score >= S.LEAST_SCORE for r in rows if r.before.lower().endswith('token = "') == is_key] for is_key in (True, False))
+    assert len(keys) >= 10 and all(keys) and sum(words) <= 0.1 * len(words)
