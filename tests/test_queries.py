@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def rows(frame):
     out = []
     for row in frame[sorted(frame.columns)].itertuples(index=False):
-        out.append(tuple(str([getattr(x, "item", lambda x=x: x)() for x in v]) if hasattr(v, "__len__") and not isinstance(v, str) else None if v != v else str(round(v, 5)) if isinstance(v, float) else str(v) for v in row))
+        out.append(tuple(str([getattr(x, "item", lambda x=x: x)() for x in v]) if hasattr(v, "__len__") and not isinstance(v, str) else None if v != v else str(round(v, 5) + 0.0) if isinstance(v, float) else str(v) for v in row))
     return sorted(out, key=str)
 
 
