@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import blocks, column
+from .bytesops import blocks, column, tidy
+from .scratch import small_batches
 
 WINDOW, EMBED, FILTERS, WIDTHS, PER_LANGUAGE, MOST_EXCERPTS, EXCERPT, STEPS, SEED = 256, 8, 16, (2, 3, 4), 1200, 1 << 16, 300, 640, 7
 UNDETERMINED = "und"
@@ -172,8 +173,9 @@ def _predict(model: ByteCnn | None, keep: list[str], text: str):
 
 def predict(df: DataFrame, model: ByteCnn | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` (as k0, k1, …), lang_pred and score of every row."""
+    small_batches(df.sparkSession)
     kinds = [f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)]
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(_predict(model, list(keep), text), ", ".join([*kinds, "lang_pred string", "score double"]))
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(_predict(model, list(keep), text)), ", ".join([*kinds, "lang_pred string", "score double"]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -5,36 +5,26 @@ from __future__ import annotations
 import atexit
 import gc
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, shared_root
+
 #: Rows that go to a Python worker at once: batches of whole texts stay small on both sides.
 ROWS_PER_BATCH = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where it is unset and there is one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="keyfold-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ROWS_PER_BATCH rows, also for what operators return before it runs."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= ROWS_PER_BATCH:
+        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
 
 
 #: Rows of ids or hashes that may be broadcast, some 32 MB as a hashed relation.
-FEW_ROWS = 1 << 20
+FEW_ROWS = 1 << 18
 
 
 def few(written: DataFrame) -> DataFrame:
@@ -54,15 +44,11 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_root(spark)}/keyfold-{name}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
+        small_batches(spark)
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        batch = self.spark.conf.get(_BATCH)
-        self.spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
-        try:
-            df.write.parquet(f"{self.path}/{name}")
-        finally:
-            self.spark.conf.set(_BATCH, batch)
+        df.write.parquet(f"{self.path}/{name}")
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import BLOCK_BYTES, blocks, column, prefix_hash, span_hash
+from .bytesops import BLOCK_BYTES, blocks, column, prefix_hash, span_hash, tidy
 from .scratch import Scratch
 
 LENGTH, GRAM, HOT, SHARD_BYTES, MOST_RANGES = 400, 64, 2000, 2 << 20, 1 << 12
@@ -298,13 +298,13 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     gram = min(GRAM, max(1, length // 2))
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     kind = df.schema[doc_id].dataType.simpleString()
-    led = docs.where(F.octet_length("text") >= length).mapInArrow(_leading(length, gram), f"doc_id {kind}, fp long, n long")
+    led = docs.where(F.octet_length("text") >= length).mapInArrow(tidy(_leading(length, gram)), f"doc_id {kind}, fp long, n long")
     twice = led.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
     lists = scratch.write(led.join(twice, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "lists")
     renamed = lists.select(F.col("doc_id").alias("kf_id"), "fps")
     held = docs.join(renamed, docs["doc_id"].eqNullSafe(renamed["kf_id"])).drop("kf_id").withColumn("uid", F.monotonically_increasing_id())
     held = scratch.write(held, "held")
-    segments = scratch.write(held.select("uid", "text", "fps").mapInArrow(_segments(length, gram), "uid long, fp long, s0 long, h1 long, h2 long, segment binary"), "segments")
+    segments = scratch.write(held.select("uid", "text", "fps").mapInArrow(tidy(_segments(length, gram)), "uid long, fp long, s0 long, h1 long, h2 long, segment binary"), "segments")
     distinct = segments.groupBy("fp", "h1", "h2", "segment").agg(F.count(F.lit(1)).alias("k"))  # equal in their bytes
     distinct = scratch.write(distinct, "distinct")
     sizes = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.max("k").alias("k"), F.sum(F.length("segment")).alias("bytes")).where("kinds > 1 or k > 1")
@@ -323,7 +323,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     spans = segments.select("uid", "fp", "s0", "h1", "h2").join(found, ["fp", "h1", "h2"]).select("uid", F.transform(F.arrays_zip("lo", "hi"), lambda x: F.struct((x["lo"] + F.col("s0")).alias("a"), (x["hi"] + F.col("s0") + length).alias("b"))).alias("cut"))
     spans = spans.groupBy("uid").agg(F.flatten(F.collect_list("cut")).alias("cut"))
     out = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    changed = held.select("uid", "doc_id", "text").join(spans, "uid", "left").select("doc_id", "text", "cut").mapInArrow(_removed(with_bytes), f"doc_id {kind}, {out}")
+    changed = held.select("uid", "doc_id", "text").join(spans, "uid", "left").select("doc_id", "text", "cut").mapInArrow(tidy(_removed(with_bytes)), f"doc_id {kind}, {out}")
     size, nothing = F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long")
     body = F.col("text").cast("binary")
     plain = docs.select("doc_id", size, nothing.alias("n_removed"), nothing.alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"), *[body.alias("kept")] * with_bytes)
