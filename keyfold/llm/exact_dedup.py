@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import column
-from .scratch import Scratch
+from .bytesops import column, tidy
+from .scratch import Scratch, few
 
 ROWS_PER_BLOCK = 1 << 20
 MIN_BLOCK_BITS = 5
@@ -142,30 +142,36 @@ def describe(df: DataFrame, text: str, keep: list[str], with_text: bool = False)
     """Columns ``keep`` (as k0, k1, …) with fingerprint, SHA-256 and, if asked for, bytes of the normalised text."""
     used = df.select(*dict.fromkeys([*keep, text]))
     schema = ", ".join([f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)] + ["fp long", "sha binary"] + ["norm binary"] * with_text)
-    return used.mapInArrow(_described(text, keep, with_text), schema)
+    return used.mapInArrow(tidy(_described(text, keep, with_text)), schema)
 
 
 def repeated_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     """``fp`` of every fingerprint that more than one row has."""
     blocks = max(1, df.count() // ROWS_PER_BLOCK)
     bits = max(MIN_BLOCK_BITS, int(blocks).bit_length())
-    parts = df.select(text).mapInArrow(_filters(text, bits), "block int, filter binary")
+    parts = df.select(text).mapInArrow(tidy(_filters(text, bits)), "block int, filter binary")
     return parts.groupBy("block").applyInArrow(_repeated, "fp long")
 
 
 def verified_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """(fp, sha, keep_id, group_size) of every group of two or more rows whose normalised bytes are equal."""
+    """(fp, sha, keep_id, group_size, keepers) of every group of two or more rows whose normalised bytes are equal;
+    ``keepers`` counts the rows with the id that stays."""
     scratch = scratch or Scratch(df.sparkSession, "exact-dedup")
     again = scratch.write(repeated_fingerprints(df, text), "repeated")
-    members = describe(df, text, [doc_id], with_text=True).join(again, "fp")
-    groups = members.groupBy("fp", "sha", "norm").agg(F.min("k0").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return scratch.write(groups.where("group_size > 1").drop("norm"), "groups")
+    members = describe(df, text, [doc_id], with_text=True).join(few(again), "fp")
+    rows = members.groupBy("fp", "sha", "norm", "k0").agg(F.count(F.lit(1)).alias("n"))
+    keepers = F.coalesce(F.min_by("n", "k0"), F.sum("n"))
+    groups = rows.groupBy("fp", "sha", "norm").agg(F.min("k0").alias("keep_id"), F.sum("n").alias("group_size"), keepers.alias("keepers"))
+    groups = scratch.write(groups.where("group_size > 1").drop("norm"), "groups")
+    scratch.drop("repeated")
+    scratch.release()
+    return groups
 
 
 def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256."""
     groups = verified_groups(df, doc_id, text)
-    joined = describe(df, text, [doc_id]).join(groups, ["fp", "sha"], "left")
+    joined = describe(df, text, [doc_id]).join(few(groups), ["fp", "sha"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("k0")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("k0").alias("doc_id"),
@@ -177,13 +183,15 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each group of equal texts: that with the smallest id."""
+    """``df`` with one row of each group of equal texts: that with the smallest id. Rows without a partner, nulls and
+    empty texts are as for ``exact_groups``; columns may have any names. Texts move only if the groups are too many to broadcast."""
     groups = verified_groups(df, doc_id, text)
-    names = df.columns
-    inner = df.toDF(*[f"c{i}" for i in range(len(names))])
-    id_col, text_col = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    names = [f"c{i}" for i in range(len(df.columns))]
+    inner, id_col, text_col = df.toDF(*names), F.col(names[df.columns.index(doc_id)]), names[df.columns.index(text)]
     spaced = F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    marked = inner.withColumn("sha", F.unhex(F.sha2(F.encode(spaced, "utf-8"), 256))).join(groups.drop("fp"), "sha", "left")
-    single = marked.where("group_size is null").select(*inner.columns)
-    first = marked.where(F.col("group_size").isNotNull() & F.col(id_col).eqNullSafe(F.col("keep_id")))
-    return single.unionByName(first.dropDuplicates(["sha"]).select(*inner.columns)).toDF(*names)
+    marked = inner.withColumn("sha", F.unhex(F.sha2(F.encode(spaced, "utf-8"), 256))).join(few(groups.drop("fp")), "sha", "left")
+    stays = F.col("group_size").isNull() | id_col.eqNullSafe(F.col("keep_id"))
+    kept = marked.where(stays & F.coalesce(F.col("keepers") == 1, F.lit(True))).select(*names)
+    if not groups.where("keepers > 1").isEmpty():  # an id that stays and repeats with its text: one of its rows
+        kept = kept.unionByName(marked.where(stays & (F.col("keepers") > 1)).dropDuplicates(["sha"]).select(*names))
+    return kept.toDF(*df.columns)
