@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch, few
+
 WEIGHTS, SHARE, MAX_RATE, SEED = (5, 2, 1), 1.5, 2.0, "keyfold-mix-1"
 
 
@@ -49,17 +51,28 @@ def copies(doc_id: Column, rate: Column, seed: str = SEED) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def planned(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", sizes: DataFrame | None = None, **how) -> DataFrame:
-    """``df`` with kf_size, kf_source_size, kf_target and kf_copies; ``sizes`` may give a table to aggregate instead."""
-    sized = df.withColumn("kf_size", size_of(text)).withColumn("kf_source", F.col(source)) if sizes is None else sizes
-    goal = targets(sized.select("kf_source", "kf_size"), **how).withColumnRenamed("kf_source", "kf_name")
-    joined = sized.join(goal, F.col("kf_source").eqNullSafe(F.col("kf_name")), "left").drop("kf_name")
+def _goals(sizes: DataFrame, scratch: Scratch, **how) -> DataFrame:
+    """(kf_name, kf_source_size, kf_target, kf_rate), one row for each source, stored so that its size is known."""
     rate = F.when(F.col("kf_source_size") > 0, F.col("kf_target") / F.col("kf_source_size")).otherwise(F.lit(0.0))
-    return joined.withColumn("kf_copies", copies(F.col(doc_id), rate))
+    return scratch.write(targets(sizes, **how).withColumnRenamed("kf_source", "kf_name").withColumn("kf_rate", rate), "goals")
+
+
+def planned(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """doc_id, source, kf_size, kf_source_size, kf_target and kf_copies of every row; texts are read once."""
+    scratch = Scratch(df.sparkSession, "mixing")
+    sized = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("kf_size"))
+    sized = scratch.write(sized, "sizes")
+    goals = _goals(sized.select(F.col("source").alias("kf_source"), "kf_size"), scratch, **how)
+    joined = sized.join(few(goals), F.col("source").eqNullSafe(F.col("kf_name")), "left")
+    return joined.select("doc_id", "source", "kf_size", "kf_source_size", "kf_target", copies(F.col("doc_id"), F.col("kf_rate")).alias("kf_copies"))
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mixture itself: every row of ``df`` as often as it is taken, with the columns of ``df``."""
-    rows = planned(df, doc_id, text, source, **how).where("kf_copies > 0")
-    rows = rows.withColumn("kf_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("kf_copies"))))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
+    """The mixture itself: every row of ``df`` as often as it is taken, with the columns of ``df``, whatever their names."""
+    scratch, names = Scratch(df.sparkSession, "mixing"), [f"c{i}" for i in range(len(df.columns))]
+    goals = _goals(df.select(F.col(source).alias("kf_source"), size_of(text).alias("kf_size")), scratch, **how)
+    at = dict(zip(df.columns, names, strict=True))
+    rows = df.toDF(*names).join(few(goals), F.col(at[source]).eqNullSafe(F.col("kf_name")), "left")
+    taken = copies(F.col(at[doc_id]), F.col("kf_rate"))
+    rows = rows.select(*names, F.explode(F.when(taken > 0, F.sequence(F.lit(1).cast("long"), taken))).alias("kf_copy"))
+    return rows.select(*names).toDF(*df.columns)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, langid, licenses, mixing, ngram_join, packing, rptree, secrets, suffix_dedup, warc
-from .scratch import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -40,9 +39,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    sizes = documents.select("doc_id", mixing.size_of("text").alias("kf_size"), F.col("source").alias("kf_source"))
-    planned = mixing.planned(documents, sizes=Scratch(spark, "mixing").write(sizes, "sizes"))
+    planned = mixing.planned(table(spark, sf_dir, "documents"))
     return planned.select(
         "doc_id",
         F.col("kf_size").alias("size"),
@@ -53,7 +50,8 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=True)
+    return cut.withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
