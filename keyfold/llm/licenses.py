@@ -131,7 +131,7 @@ def _once(value: Column) -> Column:
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """doc_id, line (from 0; -1: the whole text; -2: a window), first_word (of a window, else null), license and dice of
+    """doc_id, line (from 0; -1: the whole text; -2: a window), first_word (of a window, else -1), license and dice of
     every unit that matches a template."""
     known = _templates(least)
     # repeated bigrams leave fewer distinct ones, so word counts have no upper bound of their own below that of a text
@@ -155,7 +155,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float
     rated = F.array(*[F.struct(score(grams, low, high).alias("dice"), F.lit(-i).alias("order"), F.lit(name).alias("license")) for i, (name, grams, low, high) in enumerate(known)])
     best = F.array_max(F.filter(rated, lambda x: x["dice"] >= least))
     matched = units.select("doc_id", "line", _once(F.struct(best.alias("best")))).where("best is not null")
-    units = matched.select("doc_id", "line", F.lit(None).cast("int").alias("first_word"), F.col("best.license").alias("license"), F.round("best.dice", 9).alias("dice"))
+    units = matched.select("doc_id", "line", F.lit(-1).alias("first_word"), F.col("best.license").alias("license"), F.round("best.dice", 9).alias("dice"))
     return units.unionByName(_windows(df, doc_id, text, least))
 
 
@@ -197,6 +197,6 @@ window_scores AS (
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY row, license ORDER BY dice DESC, s) AS place FROM window_scores WHERE dice >= {least}
 )
-SELECT doc_id, line, NULL::INTEGER AS first_word, license, round(dice, 9) AS dice FROM ranked WHERE place = 1
+SELECT doc_id, line, -1 AS first_word, license, round(dice, 9) AS dice FROM ranked WHERE place = 1
 UNION ALL SELECT doc_id, -2, s::INTEGER, license, round(dice, 9) FROM best WHERE place = 1
 """

@@ -17,7 +17,7 @@ def brute_licenses(text):
         grams = set(L.bigram_set(unit.split()))
         best = max(((2 * len(grams & set(g)) / (len(grams) + len(g)), -k, name) for k, (name, g, _, _) in enumerate(L._templates(L.LEAST))), default=None) if grams else None
         if best and best[0] >= L.LEAST:
-            out.add((i, best[2], round(best[0], 9), None))
+            out.add((i, best[2], round(best[0], 9), -1))
     words = L.template_words(text)
     for name, grams, m, step in L.long_templates(L.LEAST):
         rated = [(2 * len(set(grams) & mine) / (len(grams) + len(mine)), -s) for s in sorted({*range(0, len(words) - m + 1, step), max(0, len(words) - m)}) for mine in [set(L.bigram_set(words[s : s + m]))]]
