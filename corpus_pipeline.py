@@ -1,7 +1,13 @@
 """The corpus pipeline: raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's result as Parquet and
-reads it again as the next one's documents. All stages but the last keep the columns of ``documents``.
+reads it again as the next one's documents. All stages but the last keep the columns of ``documents``. What a stage wrote
+is dropped once the next one is written, so that a run holds two stages at most.
+
+Defined results, for each stage as for the operator it calls: nulls in any column pass through unless a stage says otherwise, and
+rows without text end in the first; an empty table gives an empty table; rows that repeat are rows of their own until a
+deduplicating stage meets them; ties go to the smallest id; texts are whole whatever their length; further columns, whatever
+their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -14,27 +20,30 @@ from keyfold.llm.scratch import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose best language has a mean probability below 0.35."""
+    """Drops documents without a letter (null and empty texts too) and those whose best language has a mean probability below
+    0.35. Without any labelled row no language can be told and every document goes."""
     return langid.keep_identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text (runs of white space as one space) the one with the smallest id stays."""
+    """Of documents with equal text (runs of white space as one space; null as empty) one row with the smallest id stays; a
+    null id counts as the largest."""
     return exact_dedup.keep_first(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents that share 75 % of their word 5-grams the one with the smallest id stays."""
+    """Of each component of documents that share 75 % of their word 5-grams the one with the smallest id stays. Documents
+    without a word or an id link with nothing and stay; rows that repeat the id that stays all stay."""
     return ngram_join.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the sources' target weights take them."""
+    """Documents as often as the sources' target weights take them, null being a source too; a source without words takes none."""
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of at most 4096 tokens."""
+    """Token pieces in sequences of at most 4096 tokens; a document without text is one piece with the end id."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
@@ -54,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
+        scratch.keep(f"stage{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
