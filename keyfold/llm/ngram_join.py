@@ -8,11 +8,11 @@
    among the nodes, rare ones first; those of one node alone come before all others. If two sets share ``o`` shingles,
    then for every l <= o both have l common ones among their first n - o + l. A posting therefore has a greatest partner
    size, from its place, its node's size and the node's shared shingles, and only postings within each other's reach meet.
-3. Each node lengthens its prefix to the l of least estimated cost: posting entries read plus candidates expected
-   (entries / l), each weighted with what a verification costs.
-4. Near copies first: every component (at first a node) is verified against the hub of another that shares the most
-   prefix shingles with it, and what links becomes one component; up to ``HUB_ROUNDS`` times. Then all pairs of different
-   components that share l prefix shingles are verified, so no pair inside a component is listed and no link is missed.
+3. Near copies first: every component (at first a node) is verified against the hub of another that shares the most
+   prefix shingles with it, and what links becomes one component; up to ``HUB_ROUNDS`` times.
+4. Each node lengthens its prefix to the l of least estimated cost: posting entries of other components within reach plus
+   candidates expected (entries / l), each weighted with what a verification costs. All pairs of different components that share l
+   prefix shingles are verified, so no pair inside a component is listed and no link is missed.
 5. Components by star contraction; rows with equal sets follow their node, ids that repeat join theirs.
 
 Memory follows the block size and the shingles of one hash range; posting lists are joined as rows, never gathered.
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytesops import blocks, column, mix64, prefix_hash, span_hash, words
+from .bytesops import blocks, column, mix64, prefix_hash, span_hash, tidy, words
 from .graph import components
 from .scratch import Scratch, few
 
@@ -43,7 +43,7 @@ WORDS, LEAST, LEVELS = 5, 75, 4
 VERIFY_COST, HUB_ROUNDS = 20.0, 3
 #: Shingles that one range is meant for, bytes of text that one shingle is reckoned to take, most ranges, and shingles of a
 #: chunk, so that a chunk has some hundreds for each range.
-RANGE_SHINGLES, SHINGLE_BYTES, MOST_RANGES, CHUNK_SHINGLES = 1 << 19, 6, 1 << 16, 1 << 20
+RANGE_SHINGLES, SHINGLE_BYTES, MOST_RANGES, CHUNK_SHINGLES = 1 << 19, 6, 1 << 16, 1 << 19
 _STEP = np.random.default_rng(5).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -93,6 +93,16 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield lo, list(distinct_sets(value, row, hi - lo))
 
 
+def pack_places(places: np.ndarray) -> bytes:
+    """Ascending whole numbers, as steps of one byte where all are that small."""
+    steps = np.diff(places, prepend=0)
+    return b"s" + steps.astype(np.uint8).tobytes() if not len(steps) or steps.max() < 256 else b"w" + places.astype(np.uint32).tobytes()
+
+
+def unpack_places(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8, offset=1), dtype=np.int64) if raw[:1] == b"s" else np.frombuffer(raw[1:], np.uint32).astype(np.int64)
+
+
 class _Chunk:
     """Documents whose shingles are sent to the ranges together."""
 
@@ -134,7 +144,7 @@ class _Chunk:
                 pa.array(np.full(len(used), name, np.uint64).view(np.int64)),
                 pa.array([low(shared[shared_cuts[r] : shared_cuts[r + 1]]) for r in used], pa.binary()),
                 pa.array([low(single[cuts[r] : cuts[r + 1]]) for r in used], pa.binary()),
-                pa.array([np.bincount(owner[cuts[r] : cuts[r + 1]], minlength=len(n)).astype(np.uint32).tobytes() for r in used], pa.binary()),
+                pa.array([pack_places(owner[cuts[r] : cuts[r + 1]]) for r in used], pa.binary()),
                 pa.array([head] + [None] * (len(used) - 1), pa.binary()),
             ],
             ["part", "chunk", "shared", "single", "owners", "head"],
@@ -159,13 +169,14 @@ def _packed(doc_id: str, text: str, range_bits: int, chunk_shingles: int):
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each chunk of one range, how many of the range's shingles each of its documents shares with another row."""
+    """For each chunk of one range, the documents of the range's shingles that another row has too."""
     chunks, shared, single, owners, heads = [], [], [], [], []
     for batch in batches:
         chunks += batch.column("chunk").to_pylist()
         heads += batch.column("head").to_pylist()
-        for name, out, kind in (("shared", shared, np.uint32), ("single", single, np.uint32), ("owners", owners, np.uint32)):
-            out += [np.frombuffer(x.as_buffer(), kind).copy() for x in batch.column(name)]
+        owners += batch.column("owners").to_pylist()
+        for name, out in (("shared", shared), ("single", single)):
+            out += [np.frombuffer(x.as_buffer(), np.uint32).copy() for x in batch.column(name)]
     sizes = np.array([len(x) for x in single])
     tokens = np.concatenate(single)
     order = np.argsort(tokens, kind="stable")
@@ -178,28 +189,24 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if len(known):
         at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
         met |= known[at] == tokens
-    counts, lo = [], 0
-    for size, own in zip(sizes, owners, strict=True):
-        hits = np.concatenate([[0], np.cumsum(met[lo : lo + size])])
-        edges = np.concatenate([[0], np.cumsum(own.astype(np.int64))])
-        counts.append((hits[edges[1:]] - hits[edges[:-1]]).astype(np.uint32).tobytes())
-        lo += size
-    yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(counts, pa.binary()), pa.array(heads, pa.binary())], ["chunk", "counts", "head"])
+    ends = np.cumsum(sizes)
+    found = [pack_places(unpack_places(own)[met[end - size : end]]) for size, end, own in zip(sizes, ends, owners, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(found, pa.binary()), pa.array(heads, pa.binary())], ["chunk", "found", "head"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of one chunk, with the counts of all ranges added up."""
-    total, head, rows = np.zeros(1, np.int64), None, 0
+    """The documents of one chunk, with what all ranges found added up."""
+    total, head, rows = np.zeros(0, np.int64), None, 0
     for batch in batches:
-        for counts, h in zip(batch.column("counts"), batch.column("head"), strict=True):
-            total = total + np.frombuffer(counts.as_buffer(), np.uint32)
-            head = h.as_py() if h.is_valid else head
-            rows += 1
+        for found, h in zip(batch.column("found").to_pylist(), batch.column("head"), strict=True):
+            more = np.bincount(unpack_places(found), minlength=len(total))
+            more[: len(total)] += total
+            total, head, rows = more, h.as_py() if h.is_valid else head, rows + 1
     if head is None or int.from_bytes(head[:8], "little") != rows:
         raise RuntimeError("the input gave other rows when a lost task ran again; write it as a table first")
     n = int.from_bytes(head[8:16], "little")
     ids, valid, size, local, digests = np.split(np.frombuffer(head, np.int64, offset=16), [n, 2 * n, 3 * n, 4 * n])
-    digests = digests.reshape(-1, 2)
+    digests, total = digests.reshape(-1, 2), np.pad(total, (0, n - len(total)))
     yield pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(size), pa.array(total + local), pa.array(digests[:, 0]), pa.array(digests[:, 1])], ["doc_id", "n", "m", "h1", "h2"])
 
 
@@ -208,8 +215,8 @@ def counted(docs: DataFrame) -> DataFrame:
     bytes_of_text = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     range_bits = max(4, min(MOST_RANGES, bytes_of_text // SHINGLE_BYTES // RANGE_SHINGLES).bit_length())
     chunk = max(CHUNK_SHINGLES, 64 << range_bits)
-    sent = docs.mapInArrow(_packed("doc_id", "text", range_bits, chunk), "part int, chunk long, shared binary, single binary, owners binary, head binary")
-    answered = sent.groupBy("part").applyInArrow(_answered, "chunk long, counts binary, head binary")
+    sent = docs.mapInArrow(tidy(_packed("doc_id", "text", range_bits, chunk)), "part int, chunk long, shared binary, single binary, owners binary, head binary")
+    answered = sent.groupBy("part").applyInArrow(_answered, "chunk long, found binary, head binary")
     return answered.groupBy("chunk").applyInArrow(_summed, "doc_id long, n long, m long, h1 long, h2 long")
 
 
@@ -253,13 +260,24 @@ def _postings(sets: DataFrame, least: int) -> DataFrame:
     return placed.where(F.col("place") <= F.col("m") - F.col("need") + LEVELS).select("token", "node", "n", "m", (F.col("n") - F.col("m") + F.col("place") - 1).alias("place"), "need")
 
 
-def _levels(live: DataFrame) -> DataFrame:
-    """(node, l, weight): the prefix extension of least estimated cost, and the posting entries behind the longest prefix."""
+def _weights(live: DataFrame) -> DataFrame:
+    """(node, weight): the posting entries of others behind a node's longest prefix."""
     counts = live.groupBy("token").agg((F.count(F.lit(1)) - 1).alias("others"))
-    inside = lambda l: F.col("place") < F.col("n") - F.col("need") + l
-    costs = live.join(counts, "token").groupBy("node").agg(F.max("need").alias("need"), *[F.sum(F.when(inside(l), F.col("others")).otherwise(0)).alias(f"entries{l}") for l in range(1, LEVELS + 1)])
-    cost = [F.when(F.col("need") >= l, F.col(f"entries{l}") * F.lit(1 + VERIFY_COST / l)).otherwise(F.lit(float("inf"))) for l in range(1, LEVELS + 1)]
-    return costs.select("node", F.array_position(F.array(*cost), F.array_min(F.array(*cost))).cast("int").alias("l"), F.col(f"entries{LEVELS}").alias("weight"))
+    return live.join(counts, "token").groupBy("node").agg(F.sum("others").alias("weight"))
+
+
+def _extensions(placed: DataFrame, least: int) -> DataFrame:
+    """(node, l): the prefix extension of least estimated cost. A posting counts at l if its reach then holds a set of the list's
+    mean size, and a node's entries at l are the counting postings of other components in the lists where its own counts."""
+    levels = range(1, LEVELS + 1)
+    placed = placed.join(placed.groupBy("token").agg(F.avg("n").alias("usual")), "token")
+    placed = placed.select("token", "component", "node", "need", *[(_reach(F.lit(l), least) >= F.col("usual")).cast("int").alias(f"live{l}") for l in levels])
+    own = placed.groupBy("token", "component").agg(*[F.sum(f"live{l}").alias(f"own{l}") for l in levels])
+    every = own.groupBy("token").agg(*[F.sum(f"own{l}").alias(f"every{l}") for l in levels])
+    met = placed.join(own, ["token", "component"]).join(every, "token")
+    costs = met.groupBy("node").agg(F.max("need").alias("need"), *[F.sum(F.col(f"live{l}") * (F.col(f"every{l}") - F.col(f"own{l}"))).alias(f"entries{l}") for l in levels])
+    cost = [F.when(F.col("need") >= l, F.col(f"entries{l}") * F.lit(1 + VERIFY_COST / l)).otherwise(F.lit(float("inf"))) for l in levels]
+    return costs.select("node", F.array_position(F.array(*cost), F.array_min(F.array(*cost))).cast("int").alias("l"))
 
 
 def _with_components(posted: DataFrame, near: DataFrame | None) -> DataFrame:
@@ -293,13 +311,21 @@ def _hub_pairs(placed: DataFrame, least: int) -> DataFrame:
 def _far_pairs(placed: DataFrame, scratch: Scratch, least: int) -> DataFrame:
     """(u, v) of different components whose prefixes, lengthened to u's l, share l shingles within each other's reach."""
     mixed = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    placed = scratch.write(placed.join(mixed, "token"), "placed")
-    spots = placed.groupBy("token", "component").agg(F.min("n").alias("s0"), F.max("n").alias("s1"), F.max(_reach(F.lit(LEVELS), least)).alias("reach"))
-    a, b = (spots.select("token", *[F.col(x).alias(f"{x}_{k}") for x in ("component", "s0", "s1", "reach")]) for k in "uv")
-    close = _at_least(F.col("s1_u"), F.col("s0_v"), least) & _at_least(F.col("s1_v"), F.col("s0_u"), least) & (F.col("reach_u") >= F.col("s0_v")) & (F.col("reach_v") >= F.col("s0_u"))
-    meet = a.join(b, "token").where((F.col("component_u") < F.col("component_v")) & close).select("token", "component_u", "component_v")
-    u, v = _side(placed, "u", component="component_u", l="l"), _side(placed, "v", component="component_v")
-    pairs = meet.join(u, ["token", "component_u"]).join(v, ["token", "component_v"]).where(_within(F.col("l"), least))
+    placed = scratch.write(placed.join(mixed, "token"), "mixed")
+    placed = scratch.write(placed.join(_extensions(placed, least), "node"), "placed")
+    spots = placed.join(placed.groupBy("token").agg(F.max("l").alias("most")), "token").groupBy("token", "component")
+    spots = spots.agg(F.count(F.lit(1)).alias("nodes"), F.min("n").alias("s0"), F.max("n").alias("s1"), F.max(_reach(F.col("l"), least)).alias("own"), F.max(_reach(F.col("most"), least)).alias("reach"))
+    a, b = (spots.select("token", *[F.col(x).alias(f"{x}_{k}") for x in ("component", "nodes", "s0", "s1", "own", "reach")]) for k in "uv")
+    close = _at_least(F.col("s1_u"), F.col("s0_v"), least) & _at_least(F.col("s1_v"), F.col("s0_u"), least) & (F.col("own_u") >= F.col("s0_v")) & (F.col("reach_v") >= F.col("s0_u"))
+    meet = a.join(b, "token").where((F.col("component_u") < F.col("component_v")) & close)
+    # the component with fewer nodes in the list is joined first, so that of a large one only nodes within reach become rows
+    turned = F.col("turned")
+    meet = meet.select("token", "component_u", "component_v", (F.col("nodes_v") < F.col("nodes_u")).alias("turned"))
+    meet = meet.select("token", "turned", F.when(turned, F.col("component_v")).otherwise(F.col("component_u")).alias("component_u"), F.when(turned, F.col("component_u")).otherwise(F.col("component_v")).alias("component_v"))
+    u, v = (_side(placed, k, component=f"component_{k}", l=f"l_{k}") for k in "uv")
+    l = F.when(turned, F.col("l_v")).otherwise(F.col("l_u"))  # that of the lesser component, for all lists of a pair
+    pairs = meet.join(u, ["token", "component_u"]).join(v, ["token", "component_v"]).where(_within(l, least))
+    pairs = pairs.select("turned", F.when(turned, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(turned, F.col("u")).otherwise(F.col("v")).alias("v"), l.alias("l"))
     return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.first("l").alias("l")).where("k >= l").select("u", "v")
 
 
@@ -315,7 +341,7 @@ def _links(sets: DataFrame, scratch: Scratch, least: int) -> DataFrame | None:
     live = _postings(sets, least)
     live = scratch.write(live.join(live.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "token", "left_semi"), "live")
     scratch.release()
-    live = scratch.write(live.join(_levels(live), "node"), "posted")
+    live = scratch.write(live.join(_weights(live), "node"), "posted")
     scratch.drop("live")
     links, near = None, None
     for k in range(HUB_ROUNDS):
@@ -344,7 +370,7 @@ def link_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     classes = _named(hopeful.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("size")), scratch)
     members = scratch.write(hopeful.join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node").distinct(), "members")
     chosen = docs.join(few(classes.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sets = chosen.mapInArrow(_hashed_sets, "h1 long, h2 long, items array<long>").groupBy("h1", "h2").agg(F.first("items").alias("items"))
+    sets = chosen.mapInArrow(tidy(_hashed_sets), "h1 long, h2 long, items array<long>").groupBy("h1", "h2").agg(F.first("items").alias("items"))
     sets = scratch.write(sets.join(classes.select("h1", "h2", "node", "size"), ["h1", "h2"]).select("node", "size", "items"), "sets")
     scratch.release()
 

@@ -89,3 +89,20 @@ def test_long_chains_contract(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "u long, v long")
     got = {r.node: r.component for r in components(edges, Scratch(spark, "test"), "c").collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_places_of_any_width_come_back():
+    for places in ([], [0], [0, 0, 3, 258, 258], [5, 261, 70_000], list(range(0, 5000, 7))):
+        assert N.unpack_places(N.pack_places(np.array(places, np.int64))).tolist() == places
+
+
+def test_counts_of_shared_shingles(documents):
+    rows = corpus() + [(k, f"tiny{k % 50}") for k in range(1000, 3000)]
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    met = {}
+    for _, s in sets:
+        for x in s:
+            met[x] = met.get(x, 0) + 1
+    want = sorted((i, len(s), sum(met[x] > 1 for x in s)) for i, s in sets)
+    got = N.counted(documents(*rows).repartition(3).select("doc_id", "text")).collect()
+    assert sorted((r.doc_id, r.n, r.m) for r in got) == want
