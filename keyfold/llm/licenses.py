@@ -6,7 +6,7 @@ templates are sets of word bigrams (one word: that word), compared by Dice's coe
 ``least`` needs |A| between |B| * least / (2 - least) and |B| * (2 - least) / least, so a unit meets only templates whose
 size bounds hold its word count, and units that no template can match are dropped before bigrams are formed. Templates of LONG_WORDS
 words or more are also looked for inside longer texts, wrapped or not: in windows of their length, an eighth of it apart, of texts that hold
-one of the words that every match must have.
+one of the words that every match must have, and as many of a template's words as a match needs.
 
 Defined results: null and wordless texts give no row; every line and whole text gives its best template at or
 above ``least`` (ties: the first by name), every long template its best window (ties: the first); rows that repeat give their rows again; an empty table gives no row; other columns are not read.
@@ -15,6 +15,7 @@ above ``least`` (ties: the first by name), every long template its best window (
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,24 +93,37 @@ def telling_words(grams: list[str], least: float) -> list[str]:
     return chosen
 
 
+def fewest_words(grams: list[str], least: float) -> int:
+    """Fewest distinct words of a template that a match can have: k words stand in at most half of their places in bigrams."""
+    places = Counter(w for g in grams for w in (g.split(" ") * 2)[:2])
+    need, held = len(grams) * least / (2 - least) - 1e-9, 0
+    for k, (_, n) in enumerate(places.most_common(), 1):
+        held += n
+        if held / 2 >= need:
+            return k
+    return len(places)
+
+
 def _windows(df: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
     """The best window of every long template in every longer text; ties: the first."""
     known = long_templates(least)
-    plain = F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9]+", " ")
-    met = df.select(F.col(doc_id).alias("doc_id"), plain.alias("plain"))
+    plain = F.regexp_replace("low", r"[^a-z0-9]+", " ")
+    # by way of a generator, or the condition would form the text anew for each of its words
+    met = df.select(F.col(doc_id).alias("doc_id"), _once(F.struct(F.lower(F.col(text)).alias("low"))))
     some = sorted({w for _, grams, _, _ in known for w in telling_words(grams, least)})
-    met = met.where(" OR ".join(f"contains(plain, '{w}')" for w in some))
-    met = met.select("doc_id", _once(F.struct(F.split(F.trim("plain"), " ").alias("words"))))
+    met = met.where(" OR ".join(f"contains(low, '{w}')" for w in some))
+    met = met.select("doc_id", _once(F.struct(F.split(F.trim(plain), " ").alias("words"))))
 
     def best(name: str, grams: list[str], m: int, step: int) -> Column:
         n, wanted = F.size("words"), F.array(*[F.lit(g) for g in grams])
+        own = F.array(*[F.lit(w) for w in sorted({w for g in grams for w in g.split(" ")})])
         starts = F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0)), F.lit(step)), F.array(n - m)))
 
-        def rated(start: Column) -> Column:
-            mine = _distinct_bigrams(F.slice("words", start + 1, F.lit(m)))
-            return F.struct((2.0 * F.size(F.array_intersect(mine, wanted)) / (F.size(mine) + len(grams))).alias("dice"), (-start).alias("order"), F.lit(name).alias("license"))
-
-        return F.when(n > m, F.array_max(F.filter(F.transform(starts, rated), lambda x: x["dice"] >= least)))
+        cut = F.transform(starts, lambda s: F.struct((-s).alias("order"), F.slice("words", s + 1, F.lit(m)).alias("part")))
+        sets = F.transform(cut, lambda x: F.struct(x["order"].alias("order"), _distinct_bigrams(x["part"]).alias("grams")))
+        rated = F.transform(sets, lambda x: F.struct((2.0 * F.size(F.array_intersect(x["grams"], wanted)) / (F.size(x["grams"]) + len(grams))).alias("dice"), x["order"].alias("order"), F.lit(name).alias("license")))
+        enough = F.size(F.array_intersect("words", own)) >= fewest_words(grams, least)
+        return F.when((n > m) & enough, F.array_max(F.filter(rated, lambda x: x["dice"] >= least)))
 
     found = met.select("doc_id", F.explode(F.array(*[best(*t) for t in known])).alias("best")).where("best is not null")
     return found.select("doc_id", F.lit(-2).alias("line"), (-F.col("best.order")).alias("first_word"), F.col("best.license").alias("license"), F.round("best.dice", 9).alias("dice"))

@@ -48,6 +48,16 @@ def test_every_match_has_a_telling_word():
         assert 2 * len(without) < L.LEAST * (len(without) + len(grams))
 
 
+def test_no_match_has_fewer_words():
+    rng = random.Random(7)
+    for _, grams, _, _ in L.long_templates(L.LEAST):
+        fewest, need = L.fewest_words(grams, L.LEAST), int(len(grams) * 0.6 + 0.999)
+        for _ in range(200):
+            word = rng.choice(rng.choice(grams).split(" "))
+            near = sorted(grams, key=lambda g: (word not in g.split(" "), rng.random()))[:need]
+            assert len({w for g in near for w in g.split(" ")}) >= fewest
+
+
 def test_no_licence_in_an_empty_table(documents):
     assert L.scan(documents((1, "x")).limit(0)).count() == 0
 
