@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .bytesops import blocks, column, prefix_hash, span_hash, tidy, words
 from .scratch import Scratch
 
-MAX_TOKENS, END_ID, PIECES_PER_GROUP, CACHED_WORDS, CACHED_PARTS = 4096, 1, 8192, 1 << 19, 1 << 16
+MAX_TOKENS, END_ID, PIECES_PER_GROUP, CACHED_WORDS, CACHED_PARTS = 4096, 1, 8192, 1 << 19, 1 << 17
 _TAIL = ".,;:!?*#$%&"
 _encoders: dict[str, WordEncoder | TextEncoder] = {}
 
@@ -46,8 +46,21 @@ class WordEncoder:
     def reset(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.starts, self.counts, self.ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)  # by slot: words that another block had too
         self.parts: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        """Drops the words that only one block had; all of them if the others fill half of the bound."""
+        keep = self.again[self.slots]
+        if 2 * keep.sum() > CACHED_WORDS:
+            return self.reset()
+        old = self.slots[keep]
+        counts = self.counts[old].astype(np.int64)
+        ends = np.cumsum(counts)
+        self.ids = self.ids[np.repeat(self.starts[old].astype(np.int64) - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        self.keys, self.slots, self.again = self.keys[keep], np.arange(len(old), dtype=np.uint32), np.zeros(len(old), bool)
+        self.starts, self.counts = (ends - counts).astype(np.uint32), counts.astype(np.uint32)
+
     def encode_words(self, found: list[str]) -> list[list[int]]:
         """Ids of each word. A word of letters with a tail of marks is two pre-tokens, encoded apart and reused."""
         split = []
@@ -69,10 +82,11 @@ class WordEncoder:
         hashes = span_hash(prefix_hash(data, lower=b"<|" not in raw), starts, ends)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > CACHED_WORDS:
-            self.reset()
+            self.forget()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
+        self.again[self.slots[at[known]]] = True
         fresh = np.flatnonzero(~known)
         if len(fresh):
             codes = self.encode_words([raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[fresh]])
@@ -82,6 +96,7 @@ class WordEncoder:
             self.keys = np.insert(self.keys, place, keys[fresh])
             self.slots = np.insert(self.slots, place, len(self.counts) + np.arange(len(codes)))
             self.counts = np.concatenate([self.counts, counts])
+            self.again = np.concatenate([self.again, np.zeros(len(codes), bool)])
             self.ids = np.concatenate([self.ids, np.fromiter((i for c in codes for i in c), np.uint32, int(counts.sum()))])
         slot = self.slots[np.searchsorted(self.keys, keys)][back]
         count = self.counts[slot].astype(np.int64)
