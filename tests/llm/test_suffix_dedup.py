@@ -82,3 +82,28 @@ def test_windows_of_long_texts_have_one_leader_each(monkeypatch):
     parts = S.leaders(data, np.array([0, 3000]), 40, 8)
     spread = lambda x: [int(fp) for a, b, fp in zip(x[1], x[2], x[3], strict=True) for _ in range(a, b + 1)]
     assert spread(whole) == spread(parts) and len(spread(whole)) == 2961
+
+
+def by_common_prefixes(segments, length):
+    text = np.array([c for s in segments for c in [*(b + 1 for b in s), 0]], np.int64)
+    sizes = np.array([len(s) for s in segments])
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    order, rank = S.suffix_array(text)
+    lcp = S.kasai(text, order, rank, starts, sizes - length + 1, length)
+    after = lambda i: rank[i] + 1 < len(text) and lcp[order[rank[i] + 1]] >= length
+    return [[bool(lcp[i] >= length or after(i)) for i in range(a, a + n - length + 1)] for a, n in zip(starts, sizes, strict=True)]
+
+
+def test_sorting_stops_at_the_length_of_a_window(monkeypatch):
+    rng = random.Random(7)
+    parts = [bytes(rng.choice(b"abc") for _ in range(60)) for _ in range(5)]
+    segments = list(dict.fromkeys(rng.choice(parts)[rng.randrange(9) :] + rng.choice(parts)[: rng.randrange(40)] for _ in range(40)))
+    segments += [b"a" * 200, b"ab" * 90, b"a" * 45]
+    rounds = []
+    number = S._number
+    monkeypatch.setattr(S, "_number", lambda *x: rounds.append(1) or number(*x))
+    for length in (5, 7, 40, 41, 45):
+        want = by_common_prefixes(segments, length)
+        rounds.clear()
+        assert [x.tolist() for x in S.repeated_starts(segments, length)] == want
+        assert len(rounds) <= 4  # 7, 14, 28 and at most 45 bytes; the order of all of them takes more
