@@ -4,9 +4,9 @@ Text is lower-cased and everything but letters and digits becomes a space; line
 A unit is a line, or a whole text of several lines, so that wrapped licence texts are one unit too. Units and
 templates are sets of word bigrams (one word: that word), compared by Dice's coefficient 2|A and B| / (|A| + |B|). A coefficient of
 ``least`` needs |A| between |B| * least / (2 - least) and |B| * (2 - least) / least, so a unit meets only templates whose
-size bounds hold its word count, and units that no template can match are dropped before bigrams are formed. Templates of LONG_WORDS
-words or more are also looked for inside longer texts, wrapped or not: in windows of their length, an eighth of it apart, of texts that hold
-one of the words that every match must have, and as many of a template's words as a match needs.
+size bounds hold its word count. Texts and then units without any of the words of which every match must have one are dropped before they are
+cut and before bigrams are formed. Templates of LONG_WORDS words or more are also looked for inside longer texts, wrapped or not: in windows of
+their length, an eighth of it apart, of texts that hold as many of a template's words as a match needs.
 
 Defined results: null and wordless texts give no row; every line and whole text gives its best template at or
 above ``least`` (ties: the first by name), every long template its best window (ties: the first); rows that repeat give their rows again; an empty table gives no row; other columns are not read.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 LEAST = 0.75
 #: Templates of so many words are looked for inside texts, in windows of their length that start that part of it apart.
 LONG_WORDS, STEPS = 30, 8
+#: Words of so many letters are looked for alone; shorter ones tell little by themselves.
+TELLING = 6
 
 # Wording of public licence notices and short licences.
 TEMPLATES = {
@@ -80,19 +82,45 @@ def long_templates(least: float) -> list[tuple[str, list[str], int, int]]:
     return [(name, bigram_set(w), len(w), len(w) // STEPS) for name, w in worded if len(w) >= LONG_WORDS]
 
 
-def telling_words(grams: list[str], least: float) -> list[str]:
-    """Words of which every match has one: a match holds at least least / (2 - least) of a template's bigrams, and these
-    words touch more than the others. Long words, rare in other texts, are taken first."""
-    left, chosen = {tuple(g.split(" ")) for g in grams}, []
-    spare = int(len(grams) * (1 - least / (2 - least)) + 1e-9)
-    for word in sorted({w for g in left for w in g}, key=lambda w: (-len(w), w)):
-        if len(grams) - len(left) > spare:
-            break
+def shared_telling_words(templates: list[list[str]], least: float) -> list[str]:
+    """Words of which every match of one of the templates (as bigrams) has one: a match holds at least least / (2 - least) of
+    a template's bigrams, and these words touch more than the others. Words that tell most templates at once are taken
+    first, words of fewer than TELLING letters, frequent in other texts, only where nothing else is left."""
+    left = [{tuple(g.split(" ")) for g in grams} for grams in templates]
+    need = [int(len(grams) * (1 - least / (2 - least)) + 1e-9) + 1 for grams in templates]  # to touch: more than a match can lack
+    chosen = []
+    while any(n > 0 for n in need):
+        worth = Counter()
+        for grams, n in zip(left, need, strict=True):
+            if n > 0:
+                for word, k in Counter(w for g in grams for w in set(g)).items():
+                    worth[word] += min(k, n) / n
+        word = max(worth, key=lambda w: (len(w) >= TELLING, worth[w], w))
         chosen.append(word)
-        left = {g for g in left if word not in g}
+        for i, grams in enumerate(left):
+            left[i] = {g for g in grams if word not in g}
+            need[i] -= len(grams) - len(left[i])
     return chosen
 
 
+def telling_words(grams: list[str], least: float) -> list[str]:
+    return shared_telling_words([grams], least)
+
+
+def possible(words: str, templates: list[list[str]], least: float) -> Column:
+    """Whether a column of words can hold a match of one of the templates: it has a telling word, or a short one and as many
+    of a template's words as a match needs."""
+    chosen = shared_telling_words(templates, least)
+    among = lambda some: F.array(*[F.lit(w) for w in some])
+    telling = [w for w in chosen if len(w) >= TELLING]
+    found = F.arrays_overlap(words, among(telling)) if telling else F.lit(False)
+    for grams in templates:
+        own = sorted({w for g in grams for w in g.split(" ")})
+        if short := [w for w in own if w in chosen and w not in telling]:
+            found |= F.arrays_overlap(words, among(short)) & (F.size(F.array_intersect(words, among(own))) >= fewest_words(grams, least))
+    return found
+
+
 def fewest_words(grams: list[str], least: float) -> int:
     """Fewest distinct words of a template that a match can have: k words stand in at most half of their places in bigrams."""
     places = Counter(w for g in grams for w in (g.split(" ") * 2)[:2])
@@ -104,15 +132,18 @@ def fewest_words(grams: list[str], least: float) -> int:
     return len(places)
 
 
+def _met(df: DataFrame, doc_id: str, text: str, templates: list[list[str]], least: float) -> DataFrame:
+    """doc_id, lower-cased text (low) and words of texts that can hold a match of one of the templates."""
+    # by way of generators, or conditions would form text and words anew for each use
+    low = df.select(F.col(doc_id).alias("doc_id"), _once(F.struct(F.lower(F.col(text)).alias("low"))))
+    words = F.split(F.trim(F.regexp_replace("low", r"[^a-z0-9]+", " ")), " ")
+    return low.select("doc_id", "low", _once(F.struct(words.alias("words")))).where(possible("words", templates, least))
+
+
 def _windows(df: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
     """The best window of every long template in every longer text; ties: the first."""
     known = long_templates(least)
-    plain = F.regexp_replace("low", r"[^a-z0-9]+", " ")
-    # by way of a generator, or the condition would form the text anew for each of its words
-    met = df.select(F.col(doc_id).alias("doc_id"), _once(F.struct(F.lower(F.col(text)).alias("low"))))
-    some = sorted({w for _, grams, _, _ in known for w in telling_words(grams, least)})
-    met = met.where(" OR ".join(f"contains(low, '{w}')" for w in some))
-    met = met.select("doc_id", _once(F.struct(F.split(F.trim(plain), " ").alias("words"))))
+    met = _met(df, doc_id, text, [grams for _, grams, _, _ in known], least)
 
     def best(name: str, grams: list[str], m: int, step: int) -> Column:
         n, wanted = F.size("words"), F.array(*[F.lit(g) for g in grams])
@@ -129,9 +160,9 @@ def _windows(df: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
     return found.select("doc_id", F.lit(-2).alias("line"), (-F.col("best.order")).alias("first_word"), F.col("best.license").alias("license"), F.round("best.dice", 9).alias("dice"))
 
 
-def normalised(text: str) -> Column:
-    """Lower case; runs of other characters become one space, or one line break if they hold one."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9\n]+", " "), r" ?\n[ \n]*", "\n")
+def normalised(low: str) -> Column:
+    """Of a lower-cased text, runs of other characters become one space, or one line break if they hold one."""
+    return F.regexp_replace(F.regexp_replace(F.col(low), r"[^a-z0-9\n]+", " "), r" ?\n[ \n]*", "\n")
 
 
 def _distinct_bigrams(words: Column) -> Column:
@@ -150,16 +181,17 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float
     known = _templates(least)
     # repeated bigrams leave fewer distinct ones, so word counts have no upper bound of their own below that of a text
     fewest = min(low for _, _, low, _ in known)
-    lines = df.select(F.col(doc_id).alias("doc_id"), F.split(normalised(text), "\n").alias("lines"))
+    every = [grams for _, grams, _, _ in known]
+    lines = _met(df, doc_id, text, every, least).select("doc_id", F.split(normalised("low"), "\n").alias("lines"))
     whole = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(-1).alias("line"), F.array_join("lines", " ").alias("unit"))))
     each = F.transform("lines", lambda unit, i: F.struct(i.cast("int").alias("line"), unit.alias("unit")))
     units = lines.select("doc_id", F.inline(F.concat(F.coalesce(whole, F.array().cast("array<struct<line:int,unit:string>>")), each)))
     units = units.select("doc_id", "line", F.trim("unit").alias("unit")).where(F.length("unit") > 0)
     spaces = F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit("")))
-    words = F.split("unit", " ")
     # a unit much longer than every template can match only if it repeats itself: decided on its distinct bigrams
     units = units.where(F.greatest(spaces, F.lit(1)) >= fewest)
-    units = units.select("doc_id", "line", _once(F.struct(_distinct_bigrams(words).alias("grams")))).withColumn("n", F.size("grams"))
+    units = units.select("doc_id", "line", _once(F.struct(F.split("unit", " ").alias("words")))).where(possible("words", every, least))
+    units = units.select("doc_id", "line", _once(F.struct(_distinct_bigrams(F.col("words")).alias("grams")))).withColumn("n", F.size("grams"))
     units = units.where(" OR ".join(f"n BETWEEN {low} AND {high}" for low, high in sorted({(low, high) for _, _, low, high in known})))
 
     def score(grams: list[str], low: int, high: int) -> Column:

@@ -58,6 +58,22 @@ def test_no_match_has_fewer_words():
             assert len({w for g in near for w in g.split(" ")}) >= fewest
 
 
+def test_units_without_telling_words_are_dropped_and_no_match_is(spark):
+    rng = random.Random(8)
+    every = [grams for _, grams, _, _ in L._templates(L.LEAST)]
+    told = lambda units, templates: [r.p for r in spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, w array<string>").orderBy("i").select(L.possible("w", templates, L.LEAST).alias("p")).collect()]
+    matches = []
+    for _, grams, _, _ in L._templates(L.LEAST):
+        need = next(k for k in range(1, len(grams) + 1) if 2 * k >= L.LEAST * (k + len(grams)))
+        for _ in range(20):  # as few bigrams as a match can have, those that hold one of its words last
+            word = rng.choice(rng.choice(grams).split(" "))
+            near = sorted(grams, key=lambda g: (word in g.split(" "), rng.random()))[:need]
+            matches.append([w for g in near for w in g.split(" ")])
+    assert all(told(matches, every))
+    assert not any(told([["the", "cat", "sat", "by", "the", "river", "and", "you", "did", "not"], [""], ["under", "cc"]], every))
+    assert told([["licensed", "under", "cc", "by", "4", "0"]], [next(g for n, g, _, _ in L._templates(L.LEAST) if n == "CC-BY-4.0")]) == [True]
+
+
 def test_no_licence_in_an_empty_table(documents):
     assert L.scan(documents((1, "x")).limit(0)).count() == 0
 
