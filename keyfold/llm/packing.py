@@ -7,8 +7,8 @@ residual); where none does, a new sequence opens. Groups are dealt by a hash of
 each, so they pack independently in bounded memory and lose at most part of one sequence each.
 
 Tokenising: where a tokenizer's file says that it lower-cases and drops white space (``by_words``), a text's ids are the
-ids of its words in order; a worker keeps the ids of words it has met (bounded) and encodes only new ones. Other
-tokenizers read whole texts.
+ids of its words in order; a worker keeps the ids of words it has met (bounded; a tail of marks apart) and encodes only new
+ones, in one thread. Other tokenizers read whole texts.
 
 Defined results: a null text is an empty text and still gives one piece holding the end id; a document longer than
 the limit is cut into full pieces and a rest; rows that repeat are packed each; an empty table gives no piece.
@@ -17,8 +17,10 @@ the limit is cut into full pieces and a rest; rows that repeat are packed each;
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,29 @@ from pyspark.sql import functions as F
 from .bytesops import blocks, column, prefix_hash, span_hash, tidy, words
 from .scratch import Scratch
 
-MAX_TOKENS, END_ID, PIECES_PER_GROUP, CACHED_WORDS, CACHED_PARTS = 4096, 1, 8192, 1 << 19, 1 << 17
+MAX_TOKENS, END_ID, PIECES_PER_GROUP, CACHED_WORDS = 4096, 1, 8192, 1 << 19
 _TAIL = ".,;:!?*#$%&"
+_IS_TAIL, _IS_LETTER, _KEEPS_WHOLE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_IS_TAIL[[*_TAIL.encode()]] = _IS_LETTER[[*range(65, 91), *range(97, 123)]] = _KEEPS_WHOLE[[*b"'<"]] = True
 _encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
+def word_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of parts that are pre-tokens of their own: a word that ends in a letter and a tail of marks is two, so
+    that one entry serves it with any tail; other words are one part."""
+    places = np.where(_IS_TAIL[data], -1, np.arange(len(data)))
+    stem = np.maximum(np.maximum.accumulate(places)[ends - 1] + 1, starts) if len(ends) else ends
+    whole = np.concatenate([[0], np.cumsum(_KEEPS_WHOLE[data])])
+    split = (stem < ends) & (stem > starts) & _IS_LETTER[data[np.maximum(stem, 1) - 1]] & (whole[ends] == whole[starts])
+    word = np.repeat(np.arange(len(starts)), 1 + split)
+    second = np.flatnonzero(np.append(False, word[1:] == word[:-1]))
+    begin, end = starts[word], ends[word]
+    begin[second] = end[second - 1] = stem[split]
+    return begin, end, row[word]
+
+
 class WordEncoder:
-    """Token ids of words by their hashes: sorted keys, and each key's span in one flat array of ids; some 35 bytes a word."""
+    """Token ids of words (their parts) by their hashes: sorted keys, and each key's span in one flat array of ids; some 35 bytes a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,7 +65,6 @@ class WordEncoder:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.starts, self.counts, self.ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.again = np.zeros(0, bool)  # by slot: words that another block had too
-        self.parts: dict[str, list[int]] = {}
 
     def forget(self) -> None:
         """Drops the words that only one block had; all of them if the others fill half of the bound."""
@@ -61,23 +78,9 @@ class WordEncoder:
         self.keys, self.slots, self.again = self.keys[keep], np.arange(len(old), dtype=np.uint32), np.zeros(len(old), bool)
         self.starts, self.counts = (ends - counts).astype(np.uint32), counts.astype(np.uint32)
 
-    def encode_words(self, found: list[str]) -> list[list[int]]:
-        """Ids of each word. A word of letters with a tail of marks is two pre-tokens, encoded apart and reused."""
-        split = []
-        for word in found:
-            stem = word.rstrip(_TAIL)
-            plain = stem and stem != word and stem[-1].isalpha() and "'" not in word and "<" not in word
-            split.append((stem, word[len(stem) :]) if plain else (word,))
-        if len(self.parts) > CACHED_PARTS:
-            self.parts.clear()
-        new = list({part for parts in split for part in parts if part not in self.parts})
-        for part, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = code.ids
-        return [self.parts[s[0]] if len(s) == 1 else self.parts[s[0]] + self.parts[s[1]] for s in split]
-
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after the other, how many each row has)."""
-        starts, ends, row = words(data, offs)
+        starts, ends, row = word_parts(data, *words(data, offs))
         raw = data.tobytes()
         hashes = span_hash(prefix_hash(data, lower=b"<|" not in raw), starts, ends)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
@@ -89,7 +92,8 @@ class WordEncoder:
         self.again[self.slots[at[known]]] = True
         fresh = np.flatnonzero(~known)
         if len(fresh):
-            codes = self.encode_words([raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[fresh]])
+            spans = zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)
+            codes = [code.ids for code in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in spans], add_special_tokens=False)]
             counts = np.fromiter(map(len, codes), np.uint32, len(codes))
             self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.uint32)])
             place = at[fresh]  # both sides are sorted
@@ -97,7 +101,7 @@ class WordEncoder:
             self.slots = np.insert(self.slots, place, len(self.counts) + np.arange(len(codes)))
             self.counts = np.concatenate([self.counts, counts])
             self.again = np.concatenate([self.again, np.zeros(len(codes), bool)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for c in codes for i in c), np.uint32, int(counts.sum()))])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(codes), np.uint32, int(counts.sum()))])
         slot = self.slots[np.searchsorted(self.keys, keys)][back]
         count = self.counts[slot].astype(np.int64)
         total = np.cumsum(count)
@@ -142,6 +146,7 @@ def by_words(path: str) -> bool:
 
 def encoder(path: str) -> WordEncoder | TextEncoder:
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _encoders[path] = (WordEncoder if by_words(path) else TextEncoder)(path)
     return _encoders[path]
 

@@ -58,3 +58,17 @@ def test_packing_is_tight():
 
 def test_empty(documents):
     assert P.pack_documents(documents((1, "a")).limit(0), tokenizer_path()).count() == 0
+
+
+def test_words_share_entries_with_any_tail_of_marks(tokenizer):
+    coder = P.WordEncoder(tokenizer_path())
+    texts = ["alpha beta gamma.", "alpha. beta, gamma! Alpha", "", "beta. alpha, alpha! gamma, beta! gamma."]
+    odd = ["don't. 'tis, 12. 3.5, é. à, naïve! <b>. x<|endoftext|>. ... .a ,b. a.b. a.. b?! c# d$ e% f& 中. ٣, ﬁ. K. é. á, _. -. z-.", "a.\tb,　c. d!\nE.\x1fF, \x00g."]
+    rng = np.random.default_rng(3)
+    odd += ["".join(rng.choice(list("aZé9'<.,;:!?*#$%&- \ń中"), 400)) for _ in range(20)]
+    for some, entries in ((texts, 6), (odd, None)):  # three stems and three marks
+        data = [t.encode() for t in some]
+        ids, counts = coder.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert entries is None or len(coder.keys) == entries
